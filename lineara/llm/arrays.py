@@ -180,7 +180,9 @@ def by_key(keys: np.ndarray, order: np.ndarray | None = None) -> Iterator[tuple[
     """Every key with the positions that hold it, in their order."""
     at = np.argsort(keys, kind="stable") if order is None else order
     s = keys[at]
-    cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    if not len(s):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
         yield int(s[a]), at[a:b]
 
