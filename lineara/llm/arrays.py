@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 U64 = np.uint64
 _DELIM = np.zeros(256, bool)
@@ -218,6 +219,16 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, li
         yield now, held
 
 
+#: Bytes of text for one key of the shuffle, and the fewest keys.
+KEY_BYTES, KEYS = 8 << 20, 32
+
+
+def key_count(docs: DataFrame) -> int:
+    """Keys in proportion to the bytes of text, so that the packed rows that units send to keys stay of useful size."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(KEYS, -(-int(total) // KEY_BYTES))
+
+
 def home(ids: np.ndarray, n: int) -> np.ndarray:
     """The key of the documents with these ids, below n."""
     return (mix(ids.astype(U64)) % U64(n)).astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, html_text, quality, sharding, substring, suffix, warc
+from . import chat, html_text, neardup, quality, sharding, substring, suffix, warc
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), 85)
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -46,6 +50,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
+    "op9_neardup": op9_neardup,
     "op10_suffix": op10_suffix,
 }
 _ORACLE: dict[str, str] = {}
