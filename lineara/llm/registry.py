@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, html_text, neardup, quality, sharding, substring, suffix, warc
+from . import chat, decontaminate, html_text, mixing, neardup, quality, sharding, substring, suffix, warc
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+#: Token shares that op5's mixture is to have.
+MIX_WEIGHTS = {"clean": 0.9, "junk": 0.07, "toxic": 0.03}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_WEIGHTS)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +60,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
+    "op5_mixing": op5_mixing,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
     "op9_neardup": op9_neardup,
