@@ -89,10 +89,11 @@ def ngrams(w: Column, buckets: int = BUCKETS) -> Column:
 def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log p_target - log p_raw of every bucket, counted over all rows of ``docs``."""
     trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")).distinct()
-    w = docs.select(F.col("doc_id").alias("_id"), words(F.col("text")).alias("_w"))
+    grams = let(words(F.col("text")), lambda w: ngrams(w, buckets))
+    w = docs.select(F.col("doc_id").alias("_id"), "text")
     # Buckets are counted inside the scan of all texts; the trusted ones are counted again over their own rows.
-    raw = w.select(F.explode(ngrams(F.col("_w"), buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    own = w.join(trusted, "_id").select(F.explode(ngrams(F.col("_w"), buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
+    raw = w.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    own = w.join(trusted, "_id").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
     rows = raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0))).collect()  # at most one row a bucket
     total, target = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not target:
@@ -116,7 +117,11 @@ def score(w: Column, ratios: list[float]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base counts, ``score``, ``base_failed`` and ``kept``."""
     ratios = model(docs, labels)
-    rows = docs.withColumn("_w", words(F.col("text")))
-    rows = rows.withColumns({**signals(F.col("text"), F.col("_w")), "score": score(F.col("_w"), ratios)}).drop("_w")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    text = F.col("text")
+    # One struct from words bound once: a filter on `kept` must not repeat the split for every word.
+    all_ = let(words(text), lambda w: F.struct(*[c.alias(n) for n, c in signals(text, w).items()], score(w, ratios).alias("score")))
+    rows = docs.withColumn("_q", all_)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+    failed = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
+    rows = rows.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(F.col("_q.score") >= threshold, F.lit(False))})
+    return rows.withColumns({n: F.col(f"_q.{n}") for n in names}).drop("_q")
