@@ -8,12 +8,12 @@ Method.
    an odd sketch, a bitmap in which every sample flips one bit. The exclusive or of two sketches has about as many ones as
    the samples differ in, which at high similarity tells the similarity closely.
 2. Equal sets (128-bit fingerprints of whole sets) become one class with its smallest id; groups of copies end here.
-3. Each band bucket names leaders (its smallest and largest class); every class of the bucket is a candidate with them. Candidates
-   whose sketches are far apart are dropped, the others are confirmed on full sets: the leader's set meets its members', in
-   salted groups of bounded size.
-4. Confirmed links give components. A bucket that still holds several components has its members of different components
-   compared by sketch, in blocks, and what passes is confirmed on full sets. So no pair that shares a bucket is left out, but
-   pairs that are connected already are never formed. A pair at the least similarity shares no bucket with a chance below
+3. Each band bucket names leaders (its smallest class, and its hub, the class with most company in all its buckets); every class of
+   the bucket is a candidate with them. Candidates whose sketches are far apart are dropped, the others are confirmed on full
+   sets: the leader's set meets its members', in salted groups of bounded size.
+4. Confirmed links give components. Where a cluster of buckets still holds several components, its members of different
+   components are compared by sketch, in pairs of bounded blocks, and confirmed on full sets on the spot, so only links leave
+   the task. No pair that shares a bucket is left out, and pairs that are connected already are not compared. A pair at the least similarity shares no bucket with a chance below
    1e-10 (85 %) or 1e-7 (80 %).
 5. Components again, over all confirmed links.
 
@@ -41,8 +41,8 @@ SAMPLES, BANDS, ROWS = 128, 32, 4
 SKETCH_WORDS = 8
 #: A candidate is dropped when its estimate is this far below the least similarity (over five standard deviations).
 SLACK = 0.25
-#: Members of a leader, and of a bucket's block, in one group.
-GROUP = 2000
+#: Members of a leader, or of a cluster's block, in one group, and shingles of a block.
+GROUP, BLOCK_SHINGLES = 2000, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -155,24 +155,32 @@ def _confirm(percent: int):
     return run
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(doc_id, z): the texts compressed, which is what the shuffles carry."""
+    return texts.where("doc_id is not null").mapInArrow(_compress, "doc_id long, z binary")
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``texts`` has (doc_id, text)."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("n"))
     members = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"), F.lit(False).alias("leads"))
     leaders = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("leads"))
-    packed = texts.where("doc_id is not null").mapInArrow(_compress, "doc_id long, z binary")
-    rows = packed.join(members.unionByName(leaders), "doc_id").repartition(n, "leader", "salt")
+    rows = packed(texts).join(members.unionByName(leaders), "doc_id").repartition(n, "leader", "salt")
     return rows.sortWithinPartitions("leader", "salt", F.desc("leads")).mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _most(least: float) -> int:
+    """Ones that the exclusive or of two sketches has at the similarity ``least``."""
+    bits = 64 * SKETCH_WORDS
+    flips = 2 * SAMPLES * (1 - least)  # of the samples that differ
+    return int(np.ceil(bits / 2 * (1 - np.exp(-2 * flips / bits))))
+
+
 def near(x: Column, y: Column, least: float) -> Column:
     """Whether two odd sketches tell a similarity of ``least`` or more."""
-    bits = 64 * SKETCH_WORDS
-    differ = 2 * SAMPLES * (1 - least)  # flips in which the samples differ
-    most = int(np.ceil(bits / 2 * (1 - np.exp(-2 * differ / bits))))
     ones = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
-    return ones <= most
+    return ones <= _most(least)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,51 +201,64 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(least: float):
-    bits = 64 * SKETCH_WORDS
-    most = int(np.ceil(bits / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - least) / bits))))
+def _compare(percent: int, least: float):
+    most = _most(least)
 
-    def compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def pairs(held: list[tuple]) -> Iterator[tuple[int, int]]:
         ids, comp, right = (np.array([r[k] for r in held]) for k in range(3))
         sketch = np.array([r[3] for r in held]).view(U64)
+        z = zstandard.ZstdDecompressor()
+        texts = [z.decompress(r[4]) for r in held]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        h, first = shingles(Texts(ids, np.frombuffer(b"".join(texts), np.uint8), offsets))
+        _, h = np.unique(h, return_inverse=True)
+        n, mark = np.diff(first), np.zeros(int(h.max(initial=0)) + 1, bool)
         one = not right.any()  # a block against itself
         x = np.flatnonzero(~right)
         y = x if one else np.flatnonzero(right)
         for i in x:
             rest = y[(comp[y] != comp[i]) & ((y > i) | (not one))]
-            hit = rest[np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= most]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[hit])), pa.array(np.maximum(ids[i], ids[hit]))], ["a", "b"])
+            rest = rest[np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= most]
+            if len(rest):
+                own = h[first[i] : first[i + 1]]
+                mark[own] = True
+                both = np.add.reduceat(mark[h[A.ranges(first[rest], n[rest])]].astype(np.int64), np.cumsum(n[rest]) - n[rest])
+                mark[own] = False
+                for k in rest[100 * both >= percent * (n[i] + n[rest] - both)]:
+                    yield int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (found := list(pairs(held))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
         now, held = None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                for bucket, i, j, doc, comp, right, sketch in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
-                    if (bucket, i, j) != now:
-                        if len(held) > 1:
-                            yield from compare(held)
-                        now, held = (bucket, i, j), []
-                    held.append((doc, comp, right, sketch))
-        if len(held) > 1:
-            yield from compare(held)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for cluster, i, j, *row in zip(*(part.column(k).to_pylist() for k in range(8)), strict=True):
+                    if (cluster, i, j) != now:
+                        yield from flush(held)
+                        now, held = (cluster, i, j), []
+                    held.append(row)
+        yield from flush(held)
 
     return run
 
 
-def open_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components and near by sketch.
+def across(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster, near by sketch and confirmed on full sets.
 
-    ``rows``: bucket, doc_id, component, n (rows of the bucket), sketch. A bucket of more than GROUP rows is cut into blocks, and
-    each pair of blocks is a group of its own, so a group has at most about 2 * GROUP rows.
+    ``members``: doc_id, cluster, component, n_shingles, sketch. A cluster of more than GROUP members or BLOCK_SHINGLES shingles is cut
+    into blocks, and each pair of blocks is a group of its own, so groups are bounded however large a cluster is.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("n") / F.lit(GROUP)).cast("int")
-    rows = rows.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(GROUP), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("_k"))
+    rows = members.join(sizes, "cluster").withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    rows = rows.select("bucket", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "doc_id", "component", (F.col("_i") > F.col("_j")).alias("right"), "sketch")
-    return rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_pairs(least), "a long, b long")
+    rows = rows.select("doc_id", "cluster", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "component", (F.col("_i") > F.col("_j")).alias("right"), "sketch")
+    rows = packed(texts).join(rows, "doc_id").select("cluster", "i", "j", "doc_id", "component", "right", "sketch", "z")
+    return rows.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare(percent, percent / 100 - SLACK), "a long, b long")
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -253,28 +274,31 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = classes.checkpoint()
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
-    sketches = reps.select("doc_id", "sketch")
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
 
-    lead = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    held = buckets.join(lead, "bucket").select("bucket", "doc_id", "low", "high").checkpoint()
-    pairs = held.select(F.explode(F.array("low", "high")).alias("x"), "doc_id").where("x <> doc_id")
-    pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    # Leaders: the smallest class of a bucket, and its hub, the class that meets most others in all its buckets.
+    lead = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = buckets.join(lead, "bucket").checkpoint()
+    score = held.groupBy("doc_id").agg(F.sum("n").alias("score"))
+    hub = held.join(score, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("hub"))
+    star = held.select("doc_id", F.col("low").alias("x")).union(held.join(hub, "bucket").select("doc_id", F.col("hub").alias("x"))).where("x <> doc_id")
+    pairs = star.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().checkpoint()
 
-    def sketched(p: DataFrame) -> DataFrame:
-        p = p.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-        return p.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    def sketched(p: DataFrame, side: str) -> DataFrame:
+        return p.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"s{side}")), side)
 
-    passed = sketched(pairs).where(near(F.col("sa"), F.col("sb"), least)).select("a", "b")
+    passed = sketched(sketched(pairs, "a"), "b").where(near(F.col("sa"), F.col("sb"), least)).select("a", "b")
     links = confirmed(texts, passed, percent).checkpoint()
     labels = components(links)
 
-    # Members of one bucket that are in different components still.
-    split = held.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    rest = open_pairs(split.join(open_.select("bucket", "n"), "bucket").join(sketches, "doc_id"), least).distinct().join(passed, ["a", "b"], "left_anti").checkpoint()
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(texts, rest, percent)).checkpoint()
+    # Clusters (what any chain of shared buckets connects) that still hold several components.
+    clusters = components(pairs).withColumnRenamed("component", "cluster")
+    split = clusters.join(labels, "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
+    open_ = split.groupBy("cluster").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("cluster")
+    more = across(texts, split.join(open_, "cluster").join(sketches, "doc_id"), percent).checkpoint()
+    if not more.isEmpty():
+        links = links.unionByName(more)
         labels = components(links)
 
     found = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
