@@ -5,7 +5,9 @@ Method. A classifier fitted on the labels table predicts each document's posteri
 shares, fitted in numpy on a sample of at most ``TRAIN_ROWS`` labelled documents, drawn by hash of the id.
 
 With t tokens and posteriors p of document d, rates r >= 0 (at most ``max_rate``) minimise the squared distance of
-A r = sum of r * t * p from the targets T, in the metric of H = sum of t * p p'. Projected gradient: r <- clip(r - p' H^-1 (A r - T)).
+A r = sum of r * t * p from the targets T, in the metric of H = sum of t * p p' plus a ridge. Projected gradient:
+r <- clip(r - p' (H + ridge)^-1 (A r - T)). The ridge, a small share of the trace, keeps a domain of next to no supply, whose target can't
+be met, from outweighing the others.
 Only the domain totals (three numbers) leave the executors in an iteration, and all counts cover all documents; a document's
 rate is a fold of its posteriors over the iterations' steps, so nothing is kept per document but the posteriors.
 
@@ -35,6 +37,8 @@ BUCKETS = 1 << 15
 #: Most labelled documents the classifier is fitted on.
 TRAIN_ROWS = 6000
 STEPS, ITERATIONS, TOLERANCE = 150, 30, 1e-4
+#: Share of H's trace added to its diagonal.
+RIDGE = 1e-3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SYMBOL = np.zeros(256, np.int64)
@@ -159,7 +163,7 @@ def fit_rates(post: DataFrame, weights: dict[str, float], max_rate: float, ancho
     target = share / share.sum() * supply.sum()
     if anchor:
         target = share * (supply[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)])
-    inv = np.linalg.pinv(h + np.eye(k) * 1e-9 * max(1.0, np.trace(h)))
+    inv = np.linalg.inv(h + np.eye(k) * max(1e-9, RIDGE * np.trace(h)))
     steps, reached = [], supply
     for _ in range(ITERATIONS if supply.sum() else 0):
         if np.abs(reached - target).max() <= TOLERANCE * supply.sum():
@@ -168,7 +172,7 @@ def fit_rates(post: DataFrame, weights: dict[str, float], max_rate: float, ancho
         r = rate(steps, max_rate)
         got = post.agg(*[F.sum(t * x * r) for x in p]).first()
         new = np.array([x or 0.0 for x in got])
-        if np.abs(new - reached).max() <= 1e-9 * supply.sum():
+        if np.abs(new - reached).max() <= 1e-5 * supply.sum():
             break
         reached = new
     return steps, {"supply": supply.tolist(), "target": target.tolist(), "reached": reached.tolist()}
