@@ -8,8 +8,8 @@ Method.
    an odd sketch, a bitmap in which every sample flips one bit. The exclusive or of two sketches has about as many ones as
    the samples differ in, which at high similarity tells the similarity closely.
 2. Equal sets (128-bit fingerprints of whole sets) become one class with its smallest id; groups of copies end here.
-3. Each band bucket names leaders (its smallest class, and its hub, the class with most company in all its buckets); every class of
-   the bucket is a candidate with them. Candidates whose sketches are far apart are dropped, the others are confirmed on full
+3. Each band bucket names leaders (its smallest class, and its hub, the class with most company in all its buckets); a class is a
+   candidate with its first leader and with its HUBS strongest hubs. Candidates whose sketches are far apart are dropped, the others are confirmed on full
    sets: the leader's set meets its members', in salted groups of bounded size.
 4. Confirmed links give components. Where a cluster of buckets still holds several components, its members of different
    components are compared by sketch, in pairs of bounded blocks, and confirmed on full sets on the spot, so only links leave
@@ -41,6 +41,8 @@ SAMPLES, BANDS, ROWS = 128, 32, 4
 SKETCH_WORDS = 8
 #: A candidate is dropped when its estimate is this far below the least similarity (over five standard deviations).
 SLACK = 0.25
+#: Hubs that a class is compared with before the blocks of step 4, which take in all other pairs.
+HUBS = 3
 #: Members of a leader, or of a cluster's block, in one group, and shingles of a block.
 GROUP, BLOCK_SHINGLES = 2000, 1_000_000
 
@@ -281,9 +283,12 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     lead = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = buckets.join(lead, "bucket").checkpoint()
     score = held.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    hub = held.join(score, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("hub"))
-    star = held.select("doc_id", F.col("low").alias("x")).union(held.join(hub, "bucket").select("doc_id", F.col("hub").alias("x"))).where("x <> doc_id")
-    pairs = star.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().checkpoint()
+    hub = held.join(score, "doc_id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("hub"))
+    # One row a class: it has at most BANDS buckets, so its leaders fit in a short array.
+    led = held.join(hub, "bucket").groupBy("doc_id").agg(F.min("low").alias("first"), F.collect_set("low").alias("lows"), F.sort_array(F.collect_set("hub"), False).alias("hubs")).checkpoint()
+    own = F.array_distinct(F.concat(F.array("first"), F.transform(F.slice("hubs", 1, HUBS), lambda h: -h["minus"])))
+    pairs = led.select("doc_id", F.explode(own).alias("x")).where("x <> doc_id")
+    pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().checkpoint()
 
     def sketched(p: DataFrame, side: str) -> DataFrame:
         return p.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"s{side}")), side)
@@ -293,7 +298,10 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = components(links)
 
     # Clusters (what any chain of shared buckets connects) that still hold several components.
-    clusters = components(pairs).withColumnRenamed("component", "cluster")
+    # Every class hangs on its first leader, so only leaders need to be connected.
+    chains = led.select(F.col("first").alias("a"), F.explode("lows").alias("b")).where("a <> b").distinct()
+    heads = components(chains).select(F.col("doc_id").alias("first"), "component")
+    clusters = led.join(heads, "first", "left").select("doc_id", F.coalesce("component", "first").alias("cluster"))
     split = clusters.join(labels, "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
     open_ = split.groupBy("cluster").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("cluster")
     more = across(texts, split.join(open_, "cluster").join(sketches, "doc_id"), percent).checkpoint()
