@@ -37,6 +37,8 @@ BUCKETS = 1 << 15
 #: Most labelled documents the classifier is fitted on.
 TRAIN_ROWS = 6000
 STEPS, ITERATIONS, TOLERANCE = 150, 30, 1e-4
+#: Standard deviations from an even spread that a word needs to take part in the classifier.
+CHANCE = 2.5
 #: Share of H's trace added to its diagonal.
 RIDGE = 1e-3
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,6 +83,11 @@ class Classifier:
         goal = np.eye(k)[label]
         count = np.bincount(buckets, minlength=BUCKETS)
         scale = 1 / np.sqrt(1 + count)[:, None]  # a step of like size for rare and frequent words
+        # Words that are spread over the domains as chance would have it stay out: they only fit the sample.
+        share = goal.mean(axis=0)
+        inside = np.stack([np.bincount(buckets, goal[doc, c], BUCKETS) for c in range(k)], axis=1)
+        z = np.abs(inside - count[:, None] * share) / np.sqrt(count[:, None] * share * (1 - share) + 0.5)
+        scale = scale * np.clip((z.max(axis=1) - CHANCE) / 2, 0, 1)[:, None]
         vel, vel2 = np.zeros_like(words), np.zeros_like(w2)
         for _ in range(STEPS):
             p = cls(words, w2)._softmax(cls(words, w2)._scores(buckets, first, dense))
@@ -94,9 +101,7 @@ class Classifier:
 
     def _scores(self, buckets: np.ndarray, first: np.ndarray, dense: np.ndarray) -> np.ndarray:
         sums = np.concatenate([np.zeros((1, len(DOMAINS))), np.cumsum(self.words[buckets], axis=0)])
-        # Sums over distinct words, damped for long documents.
-        n = np.diff(first)[:, None]
-        return (sums[first[1:]] - sums[first[:-1]]) / (1 + n / 400) ** 0.5 + dense @ self.dense
+        return sums[first[1:]] - sums[first[:-1]] + dense @ self.dense
 
     @staticmethod
     def _softmax(s: np.ndarray) -> np.ndarray:
