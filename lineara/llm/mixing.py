@@ -88,6 +88,9 @@ class Classifier:
         inside = np.stack([np.bincount(buckets, goal[doc, c], BUCKETS) for c in range(k)], axis=1)
         z = np.abs(inside - count[:, None] * share) / np.sqrt(count[:, None] * share * (1 - share) + 0.5)
         scale = scale * np.clip((z.max(axis=1) - CHANCE) / 2, 0, 1)[:, None]
+        takes = scale[buckets, 0] > 0  # the other words keep a weight of nothing
+        first = np.concatenate([[0], np.cumsum(takes)])[first].astype(np.int64)
+        buckets, doc = buckets[takes], doc[takes]
         vel, vel2 = np.zeros_like(words), np.zeros_like(w2)
         for _ in range(STEPS):
             p = cls(words, w2)._softmax(cls(words, w2)._scores(buckets, first, dense))
