@@ -27,9 +27,12 @@ SMOOTH = 0.5
 #: Least mean log-likelihood ratio, in nats an n-gram.
 THRESHOLD = -0.1
 
+#: Repeated windows of a text up to which their places are looked up one by one.
+FEW = 16
+
 # Fixed values of the contract.
 SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words(text: Column) -> Column:
@@ -42,26 +45,40 @@ def let(value: Column, body) -> Column:
 
 
 def repeated_words(w: Column, n: int = 5) -> Column:
-    """Words covered by n-word windows that occur twice or more in the array of words."""
+    """Words covered by n-word windows that occur twice or more in the array of words.
 
-    def count(h: Column) -> Column:
-        def covered(s: Column) -> Column:
-            alike = F.filter(
+    Window hashes are sorted as plain numbers to find those that occur again. The places of a few are looked up directly; where
+    there are more than ``FEW``, hashes are sorted with their places instead, so a long text never takes quadratic time.
+    """
+
+    def at_few(h: Column, again: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(again, F.get(h, i)))
+
+    def at_many(h: Column) -> Column:
+        def alike(s: Column) -> Column:
+            found = F.filter(
                 s,
                 lambda x, i: ((i > 0) & (F.get(s, F.greatest(i - 1, F.lit(0)))["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)),
             )
-            at = F.sort_array(F.transform(alike, lambda x: x["i"]))
-            return F.aggregate(
-                at,
-                F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")),
-                lambda a, i: F.struct((a["n"] + F.least(F.lit(n), i - a["last"])).alias("n"), i.alias("last")),
-                lambda a: a["n"],
-            )
+            return F.sort_array(F.transform(found, lambda x: x["i"]))
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
+        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), alike)
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
+            at,
+            F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")),
+            lambda a, i: F.struct((a["n"] + F.least(F.lit(n), i - a["last"])).alias("n"), i.alias("last")),
+            lambda a: a["n"],
         )
 
+    def twice(h: Column) -> Column:
+        again = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + 1))))
+        return let(again, lambda g: let(F.when(F.size(g) <= FEW, at_few(h, g)).otherwise(at_many(h)), covered))
+
+    def count(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(twice(h))
+
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
     return F.when(F.size(w) <= n, F.lit(0)).otherwise(let(hashes, count))
 
@@ -69,11 +86,11 @@ def repeated_words(w: Column, n: int = 5) -> Column:
 def signals(text: Column, w: Column) -> dict[str, Column]:
     """The base counts, all long."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return {
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.char_length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(w).cast("long"),
     }
@@ -110,7 +127,10 @@ def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[fl
 def score(w: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of an array of words; null without words."""
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")  # folded to a literal once
-    total = F.aggregate(ngrams(w, len(ratios)), F.lit(0.0), lambda a, b: a + F.get(table, b))
+    n = F.lit(len(ratios))
+    # Each word with the next one, in one pass; the last has no next one and stands for itself only.
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x, y: F.get(table, F.pmod(F.xxhash64(x), n)) + F.when(y.isNull(), F.lit(0.0)).otherwise(F.get(table, F.pmod(F.xxhash64(x, y), n))))
+    total = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
     return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1))
 
 
