@@ -69,6 +69,28 @@ def test_quality_base_counts(spark, rows):
         assert not (r.base_failed and r.kept)
 
 
+def test_repeated_words_few_and_many(spark):
+    """Texts below, at and above FEW repeated windows, with runs that overlap, give the same counts as a plain look at all windows."""
+    import random
+
+    draw, texts = random.Random(7), ["", "a", "a b c d e", "a a a a a a", "x " * 500]
+    for k in (1, quality.FEW - 1, quality.FEW, quality.FEW + 1, 60):
+        run = [f"r{i}" for i in range(k + 4)]
+        texts.append(" ".join([*run, "gap", *run, "end", *run[: len(run) // 2]]))
+    texts += [" ".join(draw.choice("ab") for _ in range(n)) for n in (4, 5, 6, 9, 40, 300)]
+    texts += [" ".join(draw.choice("abc") for _ in range(n)) for n in (12, 30, 80)]
+
+    def plain(w, n=5):
+        seen = {}
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append(i)
+        return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + n)})
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r[0]: r[1] for r in frame.select("doc_id", quality.repeated_words(quality.words(frame.text))).collect()}
+    assert found == {i: plain(brute.words(t)) for i, t in enumerate(texts)}
+
+
 def test_quality_score(spark):
     """The score from plain counts of buckets, which Spark's hash gives."""
     import math
