@@ -2,14 +2,18 @@
 
 Method. Words and pairs of neighbouring words are hashed into a fixed number of buckets. Two multinomials over the buckets
 are counted, both over every document: the raw corpus (all rows) and the trusted target (rows whose label says good quality
-and not toxic). With add-``SMOOTH`` smoothing, a document's score is the mean over its n-grams of
-log p_target(bucket) - log p_raw(bucket), so length cancels; it is kept when the score is at least ``THRESHOLD`` and the base
-rules pass. Nothing is drawn at random: equal texts get equal verdicts.
+and not toxic). The target is smoothed toward the raw distribution: a bucket's ratio is
+log((t + PRIOR) / (e + PRIOR)), where t is its count in the target and e the count that the raw distribution leads to expect
+there. A bucket of which the target is too small to tell anything so has a ratio near 0, however many labels there are. A document's score
+is the mean ratio over its n-grams, so length cancels; it is kept when the score is at least ``THRESHOLD`` and the base rules pass.
+Texts of trusted documents are scored on a target without their own counts, as if they had no label. Nothing is drawn at
+random: equal texts get equal verdicts, since a copy of a trusted text is scored without that text's counts as well.
 
 The base rules count words, code points in words, symbols, repeated lines and words in repeated five-word windows with
-array functions inside the row, so there is no shuffle but for the bucket counts, which are combined before it.
+array functions inside the row. Texts are shuffled once, to meet the trusted ids for the target's counts. Both scores, with and without the
+own counts, come from one pass over the texts, and the hash of the text then tells which one holds.
 
-The model (one number for each bucket, a fixed count) is the only thing that passes through the driver.
+The model (two counts for each bucket, a fixed number) is the only thing that passes through the driver.
 
 Defined results: null or empty text has no words, so its base rules fail and its score is null; null labels or ids are not
 trusted; repeated label rows count once, repeated documents each; an empty table gives no rows; without any trusted row the
@@ -18,12 +22,16 @@ ratio is 0 for every bucket, and only the base rules decide; extra columns of th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: Added to every count.
+#: Added to every count by the plain ratio of ``model``, which ``judge`` doesn't use.
 SMOOTH = 0.5
+#: Occurrences of a bucket in the target, as the raw distribution expects them, that are added to those counted.
+PRIOR = 16.0
 #: Least mean log-likelihood ratio, in nats an n-gram.
 THRESHOLD = -0.1
 
@@ -103,20 +111,26 @@ def ngrams(w: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(one, F.slice(two, 1, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
-def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log p_target - log p_raw of every bucket, counted over all rows of ``docs``."""
-    trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")).distinct()
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+
+
+def counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[tuple[int, int, int]]:
+    """Bucket, its count over all rows of ``docs`` and its count over the trusted rows; buckets that don't occur are left out."""
     grams = let(words(F.col("text")), lambda w: ngrams(w, buckets))
     w = docs.select(F.col("doc_id").alias("_id"), "text")
     # Buckets are counted inside the scan of all texts; the trusted ones are counted again over their own rows.
     raw = w.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    own = w.join(trusted, "_id").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
-    rows = raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0))).collect()  # at most one row a bucket
+    own = w.join(trusted_ids(labels).hint("merge"), "_id").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
+    return [tuple(r) for r in raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0))).collect()]  # at most one row a bucket
+
+
+def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
+    """log p_target - log p_raw of every bucket with add-``SMOOTH`` smoothing, counted over all rows of ``docs``."""
+    rows = counts(docs, labels, buckets)
     total, target = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not target:
         return [0.0] * buckets
-    import math
-
     base = math.log((total + SMOOTH * buckets) / (target + SMOOTH * buckets))
     out = [base] * buckets
     for b, n, t in rows:
@@ -134,14 +148,48 @@ def score(w: Column, ratios: list[float]) -> Column:
     return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1))
 
 
+def scores(w: Column, rows: list[tuple[int, int, int]], buckets: int = BUCKETS) -> Column:
+    """Struct of two mean ratios of an array of words, null without words: ``all`` on the whole target, ``rest`` without the words' own
+    counts in it. ``rows`` as of ``counts``, over documents that hold these words."""
+    raw, own = [0] * buckets, [0] * buckets
+    for b, n, t in rows:
+        raw[b], own[b] = n, t
+    total, target = max(sum(raw), 1), sum(own)
+
+    def table(x: list, kind: str) -> Column:
+        return F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")  # folded to a literal once
+
+    ratios = table([f"{math.log((t + PRIOR) / (target * n / total + PRIOR)):.6f}" for n, t in zip(raw, own, strict=True)], "double")
+    n_of, t_of = table(raw, "double"), table(own, "double")
+    zero = F.lit(0.0)
+
+    def both(s: Column) -> Column:
+        size = F.size(s)
+        share = F.greatest((F.lit(float(target)) - size) / F.lit(float(total)), zero)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0))) != F.get(s, i)))
+        # Every distinct bucket with how often it occurs.
+        runs = let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(size)), lambda i, j: F.struct(F.get(s, i).alias("b"), (j - i).alias("c"))))
+
+        def add(a: Column, x: Column) -> Column:
+            rest = F.log((F.greatest(F.get(t_of, x["b"]) - x["c"], zero) + PRIOR) / (share * F.get(n_of, x["b"]) + PRIOR))
+            return F.struct((a["all"] + x["c"] * F.get(ratios, x["b"])).alias("all"), (a["rest"] + x["c"] * rest).alias("rest"))
+
+        return F.aggregate(runs, F.struct(zero.alias("all"), zero.alias("rest")), add, lambda a: F.struct((a["all"] / size).alias("all"), (a["rest"] / size).alias("rest")))
+
+    return F.when(F.size(w) > 0, let(F.sort_array(ngrams(w, buckets)), both))
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base counts, ``score``, ``base_failed`` and ``kept``."""
-    ratios = model(docs, labels)
+    rows = counts(docs, labels)
     text = F.col("text")
+    keys = [F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2")]
+    trusted = docs.select(F.col("doc_id").alias("_id"), *keys).join(trusted_ids(labels).hint("merge"), "_id").select("_k1", "_k2", F.lit(True).alias("_own")).distinct()
     # One struct from words bound once: a filter on `kept` must not repeat the split for every word.
-    all_ = let(words(text), lambda w: F.struct(*[c.alias(n) for n, c in signals(text, w).items()], score(w, ratios).alias("score")))
-    rows = docs.withColumn("_q", all_)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+    all_ = let(words(text), lambda w: F.struct(*[c.alias(n) for n, c in signals(text, w).items()], scores(w, rows).alias("scores")))
+    out = docs.select("*", *keys, all_.alias("_q")).join(trusted.hint("merge"), ["_k1", "_k2"], "left")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
-    rows = rows.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(F.col("_q.score") >= threshold, F.lit(False))})
-    return rows.withColumns({n: F.col(f"_q.{n}") for n in names}).drop("_q")
+    score = F.when(F.col("_own"), F.col("_q.scores.rest")).otherwise(F.col("_q.scores.all"))
+    kept = ~failed & F.coalesce(score >= threshold, F.lit(False))
+    return out.select(*docs.columns, failed.alias("base_failed"), kept.alias("kept"), *[F.col(f"_q.{n}").alias(n) for n in names], score.alias("score"))
