@@ -9,7 +9,7 @@ Method.
    block of the other document, which the probe at the same place in this one hits. Hashes go to the shuffle packed, five
    bytes each and grouped by key.
 2. Hits. In each key, probes that meet an index block of another place are answered to the documents on both sides.
-3. Extension. Documents meet the answers; every passage around a hit is hashed whole (128 bits) and goes to the key of that
+3. Extension. Documents meet the answers; every passage around a hit is hashed whole (96 bits, not compared word by word) and goes to the key of that
    hash, where the earliest start is found. All passages that lie on a repeat longer than WINDOW are hits of their own, so
    together the answers cover the maximal exact repeats, as runs.
 4. The runs meet the texts again, and the covered words are taken out.
@@ -18,7 +18,8 @@ Repeats inside a unit of documents (one task's few MB) are settled in step 1, in
 a passage that a third of all rows share costs one entry for each unit. Nothing is collected on the driver.
 
 Defined results: null or empty text has no words; rows without an id count as one document before all others; rows with the
-same id are one place in the order, told apart by their text's order inside a unit; extra columns are ignored; no rows give no
+same id are one place in the order, so a window at the same word of both is no earlier one and both keep it; what goes from a row
+is told by its id and its text; extra columns are ignored; no rows give no
 rows; short documents keep all their words.
 """
 
@@ -59,28 +60,44 @@ class Words:
 
 
 def _repeats(w: Words, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Mask of the windows that also start earlier in the unit. Equal hashes are compared word by word."""
+    """Mask of the windows that also start earlier in the unit, by (id, word). Equal hashes are compared word by word."""
+    ids, start = w.texts.ids[w.row[at]], at - w.first[w.row[at]]
     order = np.argsort(h, kind="stable")
+    same_id = w.texts.ids[1:] == w.texts.ids[:-1]
+    if same_id.any():  # else the unit's order is that of (id, word)
+        order = np.lexsort((start, ids, h))
     s = h[order]
     again = np.concatenate([[False], s[1:] == s[:-1]]) if len(s) else np.zeros(0, bool)
     out = np.zeros(len(at), bool)
     if again.any():
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(s))))
         a, b = at[order[again]], at[order[lead[again]]]
-        same = np.ones(len(a), bool)
+        first = order[lead[again]]
+        same = (ids[order[again]] != ids[first]) | (start[order[again]] != start[first])
         for k in range(0, WINDOW):
             same &= w.hash[a + k] == w.hash[b + k]
         out[order[again]] = same
     return out
 
 
-def _cover(w: Words, at: np.ndarray, n_keys: int) -> Iterator[tuple[int, int, bytes]]:
-    """COVER blobs: ids and first words, inside their documents, of windows that go."""
+def _tags(texts: Texts) -> np.ndarray:
+    """Hash of every text, which tells rows of one id apart."""
+    return A.spans_hash(texts.data, texts.offsets[:-1], texts.offsets[1:], A.SECOND_BASE)
+
+
+def _repeated(parts: list[Texts]) -> np.ndarray:
+    """Ids that several texts have."""
+    ids, n = np.unique(np.concatenate([p.ids for p in parts]), return_counts=True)
+    return ids[n > 1]
+
+
+def _cover(w: Words, at: np.ndarray, n_keys: int, tags: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """COVER blobs: ids, first words inside their documents, and tags of windows that go."""
     if len(at):
         row = w.row[at]
         ids, start = w.texts.ids[row], at - w.first[row]
         for key, pick in A.by_key(A.home(ids, n_keys)):
-            yield key, COVER, A.pack(ids[pick], start[pick])
+            yield key, COVER, A.pack(ids[pick], start[pick], tags[row[pick]].view("V8"))
 
 
 def _probe(n_keys: int):
@@ -92,7 +109,7 @@ def _probe(n_keys: int):
                 if not len(at):
                     continue
                 settled = _repeats(w, at, w.hashes(at, WINDOW))
-                yield from _cover(w, at[settled], n_keys)
+                yield from _cover(w, at[settled], n_keys, _tags(unit))
                 # Probes inside at least one passage that is not settled.
                 open_ = np.zeros(len(w.row) + 1, np.int64)
                 np.add.at(open_, at[~settled], 1)
@@ -178,7 +195,11 @@ def _extend(n_keys: int):
                 replies = [A.unpack(b) for b in held[REPLY]]
                 ids = np.concatenate([r[0] for r in replies])
                 tag = np.concatenate([A.mix(_wide(r[1]) ^ (r[2].astype(U64) << U64(40))) for r in replies])
-                for texts in _by_size([Texts.unpack(b) for b in held.get(TEXT, ())]):
+                parts = [Texts.unpack(b) for b in held.get(TEXT, ())]
+                if not parts:
+                    continue
+                several = _repeated(parts)
+                for texts in _by_size(parts):
                     texts = texts.take(np.flatnonzero(np.isin(texts.ids, ids)))
                     if not len(texts):
                         continue
@@ -196,13 +217,15 @@ def _extend(n_keys: int):
                         continue
                     h1 = w.hashes(at, WINDOW)
                     settled = _repeats(w, at, h1)
-                    yield from _cover(w, at[settled], n_keys)
+                    # All texts of an id are here, so that one text alone needs no tag.
+                    tags = np.where(np.isin(texts.ids, several), _tags(texts), U64(0)) if len(several) else np.zeros(len(texts), U64)
+                    yield from _cover(w, at[settled], n_keys, tags)
                     at, h1 = at[~settled], h1[~settled]
                     h2 = w.hashes(at, WINDOW, A.SECOND_BASE)
                     row = w.row[at]
                     ids1, start = texts.ids[row], at - w.first[row]
                     for to, pick in A.by_key((h1 % U64(n_keys)).astype(np.int32)):
-                        yield to, CANDIDATE, A.pack(ids1[pick], start[pick], h1[pick].view("V8"), (h2[pick] >> U64(32)).astype(np.uint32).view("V4"))
+                        yield to, CANDIDATE, A.pack(ids1[pick], start[pick], h1[pick].view("V8"), (h2[pick] >> U64(32)).astype(np.uint32).view("V4"), tags[row[pick]].view("V8"))
 
         yield from A.blobs(rows())
 
@@ -233,14 +256,16 @@ def _earliest(n_keys: int):
                 if CANDIDATE not in held:
                     continue
                 parts = [A.unpack(b) for b in held[CANDIDATE]]
-                ids, start, h1, h2 = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                ids, start, h1, h2, tags = (np.concatenate([p[k] for p in parts]) for k in range(5))
                 order = np.lexsort((start, ids, h2.view(np.uint32), h1.view(np.uint64)))
                 a, b = h1.view(np.uint64)[order], h2.view(np.uint32)[order]
-                later = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+                again = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+                lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+                later = order[again & ((ids[order] != ids[lead]) | (start[order] != start[lead]))]
                 for to, mine in A.by_key(A.home(ids[later], n_keys)):
                     at = later[mine]
                     at = at[np.lexsort((start[at], ids[at]))]
-                    yield to, COVER, A.pack(ids[at], start[at])
+                    yield to, COVER, A.pack(ids[at], start[at], tags[at])
 
         yield from A.blobs(rows())
 
@@ -257,10 +282,13 @@ def _remove(with_text: bool):
             cover = [A.unpack(b) for b in held.get(COVER, ())]
             ids = np.concatenate([c[0] for c in cover]) if cover else np.zeros(0, np.int64)
             starts = np.concatenate([c[1] for c in cover]) if cover else np.zeros(0, np.int64)
+            tags = np.concatenate([c[2] for c in cover]).view(U64) if cover else np.zeros(0, U64)
             order = np.argsort(ids, kind="stable")
-            ids, starts = ids[order], starts[order]
-            for blob in held.get(TEXT, ()):
-                texts = Texts.unpack(blob)
+            ids, starts, tags = ids[order], starts[order], tags[order]
+            parts = [Texts.unpack(blob) for blob in held.get(TEXT, ())]
+            several = set(_repeated(parts).tolist()) if parts else set()
+            for texts in parts:
+                own = _tags(texts)
                 begin, end, row = texts.words()
                 first = np.searchsorted(row, np.arange(len(texts) + 1))
                 out = []
@@ -270,6 +298,8 @@ def _remove(with_text: bool):
                     go = np.zeros(b - a + 1, np.int64)
                     if hi > lo:
                         at = starts[lo:hi]
+                        if int(texts.ids[i]) in several:
+                            at = at[tags[lo:hi] == own[i]]
                         at = at[at + WINDOW <= b - a]
                         np.add.at(go, at, 1)
                         np.add.at(go, at + WINDOW, -1)
