@@ -3,12 +3,13 @@
 Method. Texts become lower-case words (runs of letters and digits; other ASCII characters separate). Fixed masks choose positions of
 a word window and ignore the others; the chosen words are hashed. Hashes of all benchmark windows meet those of all document
 windows, so a hit survives substitutions at ignored positions. Around each hit the two texts are aligned and compared word by
-word: they overlap if some ``VERIFY`` aligned words (all of a shorter item) agree in at least ``AGREE`` of them.
+word: they overlap if some ``VERIFY`` aligned words (all of a shorter item) agree in at least ``AGREE`` of them. The masks of ``covering`` leave
+out every set of so many positions as may differ, so no such overlap lacks a hit.
 
 The benchmark is a stated query set. It is read in blocks of at most ``BLOCK_WORDS`` words (the checked bound of what is
 broadcast), and every document is probed against every block, in one pass over the texts for each block.
 
-Items of fewer words than a mask are also probed by their whole length; items of fewer than ``LEAST`` words can't prove a leak and
+Items of fewer words than ``VERIFY`` have covering masks of their own length; items of fewer than ``LEAST`` words can't prove a leak and
 are left out. Defined results: null or empty texts overlap with nothing; null ids are carried as null; repeated rows give repeated
 results, repeated item rows one; extra columns are ignored by overlaps() and carried by clean(); empty tables give no rows, and
 an empty benchmark leaves all documents.
@@ -17,6 +18,7 @@ an empty benchmark leaves all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,21 @@ for _c in range(256):
 _WORD[65:91] += 32
 
 
+def least_agreeing(n: int) -> int:
+    """Words that must agree of n aligned ones."""
+    return int(np.ceil(AGREE * n))
+
+
+def covering(n: int) -> list[str]:
+    """Masks of n words of which at least one ignores all places that differ, wherever they are.
+
+    With d differing words, n places are dealt into d + 2 runs and every choice of d runs is ignored by one mask.
+    """
+    d = n - least_agreeing(n)
+    part = [k * (d + 2) // n for k in range(n)]
+    return ["".join("0" if p in out else "1" for p in part) for out in combinations(range(d + 2), d)]
+
+
 class Tokens:
     """Word hashes of texts, their rows and where each row begins."""
 
@@ -75,7 +92,7 @@ class Index:
         self.ids, self.tokens = ids, Tokens(t)
         sizes = np.diff(self.tokens.first)
         short = sorted({int(n) for n in sizes if LEAST <= n < VERIFY})
-        self.masks = [*MASKS, *(m for n in short if (m := "1" * n) not in MASKS)]
+        self.masks = list(dict.fromkeys([*MASKS, *covering(VERIFY), *(m for n in short for m in covering(n))]))
         at, h = zip(*(self.tokens.seeds(m) for m in self.masks), strict=True)
         at, h = np.concatenate(at), np.concatenate(h)
         ok = sizes[self.tokens.row[at]] >= LEAST if len(at) else np.zeros(0, bool)
@@ -119,7 +136,7 @@ def _find(index: Index, texts: Texts) -> Iterator[tuple[int, int, int, int, int,
             lo_, hi_ = max(0, -s), min(b1 - b0, d1 - d0 - s)
             best, agree, span = verify(t.hash[d0 + s + lo_ : d0 + s + hi_], index.tokens.hash[b0 + lo_ : b0 + hi_])
             need = min(VERIFY, int(b1 - b0))
-            found[(r, i, s)] = (agree, span, s + lo_, lo_) if best >= np.ceil(AGREE * need) else None
+            found[(r, i, s)] = (agree, span, s + lo_, lo_) if best >= least_agreeing(need) else None
     top: dict[tuple[int, int], tuple] = {}
     for (r, i, s), x in sorted(found.items()):
         if x and x > top.get((r, i), (0,)):
