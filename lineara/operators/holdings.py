@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..llm import neardup
 from .ledger import money, total
 
 
@@ -67,17 +68,9 @@ def co_moves(lines: DataFrame) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def families(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, family) of every id in the edges (a, b): the smallest id that can be reached. Labels are checkpointed each round."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("family")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("id").alias("b"), "family"), "b").groupBy(F.col("a").alias("id")).agg(F.min("family").alias("f"))
-        step = labels.join(seen, "id").select("id", F.col("family").alias("old"), F.least("family", "f").alias("family")).checkpoint()
-        labels = step.select("id", "family")
-        if step.where("old <> family").isEmpty():
-            return labels
-    raise RuntimeError("the families did not settle")
+def families(edges: DataFrame) -> DataFrame:
+    """(id, family) of every id in the edges (a, b): the smallest id that can be reached, however long the way."""
+    return neardup.components(edges).select(F.col("doc_id").alias("id"), F.col("component").alias("family"))
 
 
 def vested(amount: Column, start: Column, duration: int, now: int) -> Column:

@@ -138,7 +138,7 @@ def co_move_edges(spark, sf_dir):
 @query(None)
 def families_components(spark, sf_dir):
     shared_dir(spark)
-    return H.families(H.co_moves(table(spark, sf_dir, "lineitem")).where("weight >= 5"))
+    return H.families(H.co_moves(table(spark, sf_dir, "lineitem")))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT {S} AS hi FROM events), g AS (SELECT lag(hi) OVER (ORDER BY hi) AS lo, hi FROM s)

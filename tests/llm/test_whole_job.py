@@ -6,7 +6,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-import brute
 from lineara.llm import quality
 from lineara.session import table
 
