@@ -169,7 +169,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         stack.append(tag)
-        if not dead and (_boiler(tag, attrs, bool(article)) or (tag == "article" and article)):
+        if not dead and (_boiler(tag, attrs, bool(article)) or (tag == "article" and "article" in stack[:-1])):
             dead = len(stack)
         if not article and not dead and (tag in ("article", "main") or 'itemprop="articleBody"' in attrs or 'role="main"' in attrs):
             article = len(stack)
