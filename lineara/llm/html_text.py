@@ -4,8 +4,10 @@ Method. Markup is stripped into lines, one for each block element, and every lin
 outside links, or nothing for lines inside elements that never belong to an article (navigation, footers, asides, forms,
 scripts, adverts, notices, reader comments, found by tag, role, or class and id words). If the page marks an article, lines
 outside it weigh nothing. The weights are summed over sliding windows of lines; a surge is where the sums rise from nothing, a
-dive where they fall back to it, and the lines between a surge and its dive are a candidate. Without a marked article only
-candidates that hold a fair share of the heaviest one's text are kept; with one, all are. Weightless lines inside are left out.
+dive where they fall back to it, and the lines between a surge and its dive are a candidate. Lines that never belong to an article are
+taken out before, so that they don't part one. With a marked article all candidates are kept. Without one those that share the container
+of the heaviest one are, and others that hold a fair share of its text; of weightless lines (whole links) between the first and the last
+kept line, those in that container and in no list stay.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do where that is simple (an
 unfinished tag ends the page); character references are decoded once; no length is cut. Input columns beyond page_id, url
@@ -46,6 +48,8 @@ WORDS = frozenset(
     navigation menu breadcrumb breadcrumbs masthead topbar toolbar sidebar sidebars widget widgets related recommended share sharing
     social footer foot copyright comment comments commentlist disqus respond reply replies discussion pagination pager skip""".split()
 )
+HOLDS = frozenset("article aside blockquote body center dd details div dl fieldset figure html li main menu ol section table tbody td tr ul".split())
+LISTS = frozenset("dl menu ol table ul".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -72,12 +76,15 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
     return bool({"header"} & set(words)) and not in_article and tag in ("div", "section", "td")
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """Lines of a page: text, characters inside links, whether never part of an article, whether inside a marked article."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, bool, tuple]]:
+    """Lines of a page: text, characters inside links, whether never part of an article, whether inside a marked article,
+    and the containers around it, outermost first, as (number, tag)."""
+    out: list[tuple[str, int, bool, bool, tuple]] = []
     parts: list[str] = []
     linked = 0
     stack: list[str] = []
+    number: list[int] = []  # of every element on the stack
+    opened = 0
     dead = 0  # depth at which weightless content began, 0 for none
     article = 0  # depth of the outermost article
     links = 0
@@ -88,13 +95,14 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, bool(dead), bool(article)))
+                out.append((text, linked, bool(dead), bool(article), tuple((k, x) for k, x in zip(number, stack) if x in HOLDS)))
         parts, linked = [], 0
 
     def pop_to(depth: int) -> None:
         nonlocal dead, article, links
         while len(stack) > depth:
             name = stack.pop()
+            number.pop()
             links -= name == "a"
             if dead > len(stack):
                 dead = 0
@@ -169,6 +177,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         stack.append(tag)
+        opened += 1
+        number.append(opened)
         if not dead and (_boiler(tag, attrs, bool(article)) or (tag == "article" and "article" in stack[:-1])):
             dead = len(stack)
         if not article and not dead and (tag in ("article", "main") or 'itemprop="articleBody"' in attrs or 'role="main"' in attrs):
@@ -197,16 +207,40 @@ def distribution(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, i
 
 
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    marked = any(inside and not never for _, _, never, inside in lines)
-    weights = np.array(
-        [0 if never or (marked and not inside) else max(len(text) - (0 if inside else linked), 1 if inside else 0) for text, linked, never, inside in lines], np.int64
-    )
-    kept = distribution(weights)
-    if kept and not marked:
-        heaviest = max(weights[a:b].sum() for a, b in kept)
-        kept = [(a, b) for a, b in kept if weights[a:b].sum() >= SHARE * heaviest]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if weights[i] > 0)
+    lines = [x for x in lines_of(html or "") if not x[2]]
+    marked = any(inside for *_, inside, _ in lines)
+    if marked:
+        lines = [x for x in lines if x[3]]
+    weights = np.array([max(len(text) - (0 if inside else linked), 1 if inside else 0) for text, linked, _, inside, _ in lines], np.int64)
+    ranges = distribution(weights)
+    if not ranges:
+        return ""
+    keep = np.zeros(len(lines), bool)
+    if marked:
+        for a, b in ranges:
+            keep[a:b] = True
+        return "\n".join(lines[i][0] for i in np.flatnonzero(keep & (weights > 0)))
+    a, b = max(ranges, key=lambda r: weights[r[0] : r[1]].sum())
+    heaviest = weights[a:b].sum()
+    # The innermost container of most of the heaviest candidate's text.
+    held: dict[tuple[int, str], int] = {}
+    for i in range(a, b):
+        for depth, x in enumerate(lines[i][4]):
+            held[(depth, x)] = held.get((depth, x), 0) + int(weights[i])
+    home = max((k for k, n in held.items() if 2 * n > heaviest), default=None, key=lambda k: k[0])
+    home = home[1] if home else None
+    for a, b in ranges:
+        if weights[a:b].sum() >= SHARE * heaviest:
+            keep[a:b] = True
+        else:
+            keep[a:b] = [home in lines[i][4] for i in range(a, b)]
+    keep &= weights > 0
+    at = np.flatnonzero(keep)
+    for i in range(at[0], at[-1]):
+        around = lines[i][4]
+        if not weights[i] and home in around:
+            keep[i] = not any(tag in LISTS for _, tag in around[around.index(home) + 1 :])
+    return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
