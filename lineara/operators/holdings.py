@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..llm import neardup
+from .graph import components
 from .ledger import money, total
 
 
@@ -70,7 +70,7 @@ def co_moves(lines: DataFrame) -> DataFrame:
 
 def families(edges: DataFrame) -> DataFrame:
     """(id, family) of every id in the edges (a, b): the smallest id that can be reached, however long the way."""
-    return neardup.components(edges).select(F.col("doc_id").alias("id"), F.col("component").alias("family"))
+    return components(edges).select("id", F.col("component").alias("family"))
 
 
 def vested(amount: Column, start: Column, duration: int, now: int) -> Column:

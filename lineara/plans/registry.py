@@ -135,7 +135,8 @@ def co_move_edges(spark, sf_dir):
     return H.co_moves(table(spark, sf_dir, "lineitem"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), reach(id, r) AS (SELECT a, a FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.r = e.a)
+    SELECT id, min(r) AS family FROM reach GROUP BY 1""")
 def families_components(spark, sf_dir):
     shared_dir(spark)
     return H.families(H.co_moves(table(spark, sf_dir, "lineitem")))
