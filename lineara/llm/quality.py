@@ -10,10 +10,14 @@ Texts of trusted documents are scored on a target without their own counts, as i
 random: equal texts get equal verdicts, since a copy of a trusted text is scored without that text's counts as well.
 
 The base rules count words, code points in words, symbols, repeated lines and words in repeated five-word windows with
-array functions inside the row. Texts are shuffled once, to meet the trusted ids for the target's counts. Both scores, with and without the
-own counts, come from one pass over the texts, and the hash of the text then tells which one holds.
+array functions inside the row. Both scores, with and without the own counts, come from one pass over the texts, and the hash of the
+text then tells which one holds.
 
-The model (two counts for each bucket, a fixed number) is the only thing that passes through the driver.
+A bit table of fixed size (``BITS``) tells inside the scan which rows can't have a trusted id, or a trusted text's hash. Only the
+others are shuffled to meet the trusted rows, in an exact join dealt over ``SALTS`` parts of each key; the plan is the same at every
+size, and a full table costs shuffle, not rows.
+
+The model (two counts for each bucket) and the bit tables, all of fixed size, are what passes through the driver.
 
 Defined results: null or empty text has no words, so its base rules fail and its score is null; null labels or ids are not
 trusted; repeated label rows count once, repeated documents each; an empty table gives no rows; without any trusted row the
@@ -35,6 +39,9 @@ PRIOR = 16.0
 #: Least mean log-likelihood ratio, in nats an n-gram.
 THRESHOLD = -0.1
 
+#: Bits of the table that tells which keys may be trusted, and parts into which the rows of one key are dealt.
+BITS, SALTS = 1 << 21, 16
+
 #: Repeated windows of a text up to which their places are looked up one by one.
 FEW = 16
 
@@ -115,13 +122,40 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
 
 
+def _bits(h: Column) -> list[Column]:
+    """The two bits of a hash in the table."""
+    return [F.pmod(h, F.lit(BITS)), F.pmod(F.shiftright(h, 32), F.lit(BITS))]
+
+
+def filter_of(keys: DataFrame, h: Column):
+    """A function that tells, from the hash of a row's key, whether ``keys`` may have it: false is sure."""
+    one = keys.select(F.explode(F.array(*_bits(h))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    got = dict(one.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(bit).alias("x")).collect())  # at most BITS / 64 rows
+    table = F.split(F.lit(",".join(str(got.get(w, 0)) for w in range(BITS // 64))), ",").cast("array<long>")  # folded to a literal once
+
+    def may_have(h: Column) -> Column:
+        first, second = (F.getbit(F.get(table, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in _bits(h))
+        return F.coalesce(first & second, F.lit(False))
+
+    return may_have
+
+
+def _salted(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined with distinct ``keys``; equal keys of rows are dealt over SALTS tasks."""
+    many = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(3) * SALTS).cast("int")).join(many.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[tuple[int, int, int]]:
     """Bucket, its count over all rows of ``docs`` and its count over the trusted rows; buckets that don't occur are left out."""
     grams = let(words(F.col("text")), lambda w: ngrams(w, buckets))
     w = docs.select(F.col("doc_id").alias("_id"), "text")
+    trusted = trusted_ids(labels)
+    may_be = filter_of(trusted, F.xxhash64("_id"))
     # Buckets are counted inside the scan of all texts; the trusted ones are counted again over their own rows.
     raw = w.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    own = w.join(trusted_ids(labels).hint("merge"), "_id").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
+    own = _salted(w.where(may_be(F.xxhash64("_id"))), trusted, ["_id"], "inner").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
     return [tuple(r) for r in raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0))).collect()]  # at most one row a bucket
 
 
@@ -179,15 +213,26 @@ def scores(w: Column, rows: list[tuple[int, int, int]], buckets: int = BUCKETS)
     return F.when(F.size(w) > 0, let(F.sort_array(ngrams(w, buckets)), both))
 
 
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Hashes (_k1, _k2) of the texts of trusted documents."""
+    trusted = trusted_ids(labels)
+    may_be = filter_of(trusted, F.xxhash64("_id"))
+    keyed = docs.select(F.col("doc_id").alias("_id"), "text").where(may_be(F.xxhash64("_id"))).select("_id", F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2"))
+    return _salted(keyed, trusted, ["_id"], "inner").select("_k1", "_k2").distinct()
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base counts, ``score``, ``base_failed`` and ``kept``."""
     rows = counts(docs, labels)
-    text = F.col("text")
-    keys = [F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2")]
-    trusted = docs.select(F.col("doc_id").alias("_id"), *keys).join(trusted_ids(labels).hint("merge"), "_id").select("_k1", "_k2", F.lit(True).alias("_own")).distinct()
+    text, h = F.col("text"), F.xxhash64("text")
+    trusted = trusted_texts(docs, labels)
+    may_be = filter_of(trusted, F.col("_k1"))
     # One struct from words bound once: a filter on `kept` must not repeat the split for every word.
-    all_ = let(words(text), lambda w: F.struct(*[c.alias(n) for n, c in signals(text, w).items()], scores(w, rows).alias("scores")))
-    out = docs.select("*", *keys, all_.alias("_q")).join(trusted.hint("merge"), ["_k1", "_k2"], "left")
+    all_ = let(words(text), lambda w: F.struct(*[c.alias(n) for n, c in signals(text, w).items()], scores(w, rows).alias("scores"))).alias("_q")
+    other = docs.where(~may_be(h)).select("*", all_, F.lit(None).cast("boolean").alias("_own"))
+    like = docs.where(may_be(h)).select("*", h.alias("_k1"), F.hash("text").alias("_k2"), all_)
+    like = _salted(like, trusted.withColumn("_own", F.lit(True)), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    out = other.unionByName(like)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
     score = F.when(F.col("_own"), F.col("_q.scores.rest")).otherwise(F.col("_q.scores.all"))
