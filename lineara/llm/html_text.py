@@ -1,22 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Method. Markup is stripped into lines, one for each block element, and every line gets a weight: the length of its text
-outside links, or nothing for lines inside elements that never belong to an article (navigation, footers, asides, forms,
-scripts, adverts, notices, reader comments, found by tag, role, or class and id words). If the page marks an article, lines
-outside it weigh nothing. The weights are summed over sliding windows of lines; a surge is where the sums rise from nothing, a
-dive where they fall back to it, and the lines between a surge and its dive are a candidate. Lines that never belong to an article are
-taken out before, so that they don't part one. With a marked article all candidates are kept. Without one those that share the container
-of the heaviest one are, and others that hold a fair share of its text; of weightless lines (whole links) between the first and the last
-kept line, those in that container and in no list stay.
+Method. Markup is stripped into lines, one for each block element. Lines in elements that are never text (scripts, forms, navigation,
+footers, asides and the like, by tag or role) are left out. A line weighs the length of its text outside links; inside a marked
+article it weighs its whole length. The weights are summed over sliding windows of ``WINDOW`` lines. A surge is where a sum rises to
+``SURGE`` times the highest one, a dive where it falls below that again; the lines between a surge and its dive are a candidate. The
+heaviest candidate decides: the article is the innermost container that holds most of it, or the marked article around that
+container. All text of the article is kept; candidates outside it are kept if they weigh ``SHARE`` of the heaviest one and
+no article is marked. So marks only help to find the borders: a marked article with hardly any text loses to the real text.
+
+Class and id words never decide alone. A word that names boilerplate (``sidebar``, ``post-comments``) makes its element a suspect; words
+that tell a state (``has-sidebar``, ``share-enabled``) don't. A suspect is boilerplate unless it holds most of the article's text.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do where that is simple (an
 unfinished tag ends the page); character references are decoded once; no length is cut. Input columns beyond page_id, url
-and html are ignored; repeated rows give repeated results.
+and html are ignored; repeated rows give repeated results. The time is linear in the page, however deep the markup is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,7 +29,9 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window.
 WINDOW = 3
-#: Without a marked article, a candidate is kept if it has this share of the heaviest candidate's text.
+#: Share of the highest window's sum at which the text surges and dives.
+SURGE = 0.2
+#: Without a marked article, another candidate is kept if it has this share of the heaviest candidate's text.
 SHARE = 0.2
 
 # Element names of HTML.
@@ -48,8 +53,14 @@ WORDS = frozenset(
     navigation menu breadcrumb breadcrumbs masthead topbar toolbar sidebar sidebars widget widgets related recommended share sharing
     social footer foot copyright comment comments commentlist disqus respond reply replies discussion pagination pager skip""".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Words of a compound that tell a state and not what the element is.
+STATE = frozenset("has no not is with without show hide open closed enabled disabled on off allowed active visible hidden ready layout".split())
 HOLDS = frozenset("article aside blockquote body center dd details div dl fieldset figure html li main menu ol section table tbody td tr ul".split())
 LISTS = frozenset("dl menu ol table ul".split())
+_BARS_P = frozenset("td th li div section article blockquote table".split())
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_STOPS = ("ul", "ol", "dl", "table", "select", "menu")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -57,190 +68,267 @@ _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _SPACE = re.compile(r"\s+")
 
 
-def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not in_article):
-        return True
-    if not attrs or "=" not in attrs:
-        return " hidden" in f" {attrs}" and bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs))
-    named = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    if tag in ("html", "body"):
-        return False
-    if named.get("role", "").lower() in ROLES or named.get("aria-hidden", "").lower() == "true":
-        return True
-    if "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower():
-        return True
-    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{named.get('class', '')} {named.get('id', '')}").lower()
-    words = re.split(r"[^a-z]+", said)
-    if not WORDS.isdisjoint(words):
-        return True
-    return bool({"header"} & set(words)) and not in_article and tag in ("div", "section", "td")
-
-
-def lines_of(html: str) -> list[tuple[str, int, bool, bool, tuple]]:
-    """Lines of a page: text, characters inside links, whether never part of an article, whether inside a marked article,
-    and the containers around it, outermost first, as (number, tag)."""
-    out: list[tuple[str, int, bool, bool, tuple]] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[str] = []
-    number: list[int] = []  # of every element on the stack
-    opened = 0
-    dead = 0  # depth at which weightless content began, 0 for none
-    article = 0  # depth of the outermost article
-    links = 0
-    at, n, naive = 0, len(html), False
-
-    def end_line() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-            if text:
-                out.append((text, linked, bool(dead), bool(article), tuple((k, x) for k, x in zip(number, stack) if x in HOLDS)))
-        parts, linked = [], 0
-
-    def pop_to(depth: int) -> None:
-        nonlocal dead, article, links
-        while len(stack) > depth:
-            name = stack.pop()
-            number.pop()
-            links -= name == "a"
-            if dead > len(stack):
-                dead = 0
-            if article > len(stack):
-                article = 0
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if text:
-            parts.append(text)
-            if links > 0:
-                linked += len(text)
-
-    while at < n:
-        lt = html.find("<", at)
-        if lt < 0:
-            add(html[at:])
-            break
-        add(html[at:lt])
-        if html.startswith("<!--", lt):
-            end = html.find("-->", lt + 2)
-            at = n if end < 0 else end + 3
+def suspect(attrs: str) -> str:
+    """What class and id words say of an element: "" nothing, "weak" a compound, "strong" the word itself, "comments"."""
+    found = ""
+    for token in attrs.split():
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
+        hits = [x for x in parts if x in WORDS]
+        if not hits or (len(parts) > 1 and not STATE.isdisjoint(parts)):
             continue
-        nxt = html[lt + 1 : lt + 2]
-        if nxt in ("!", "?"):
-            end = html.find(">", lt)
-            at = n if end < 0 else end + 1
-            continue
-        m = None if naive else _TAG.match(html, lt)
-        if m:
-            closing, tag, attrs, at = bool(m[1]), m[2].lower(), m[3], m.end()
-        elif not (nxt.isascii() and nxt.isalpha()) and not (nxt == "/" and html[lt + 2 : lt + 3].isalpha()):
-            add("<")
-            at = lt + 1
-            continue
-        else:
-            naive = True  # a quote is never closed: from here a tag ends at the next >
-            end = html.find(">", lt)
-            if end < 0:
+        if not COMMENTS.isdisjoint(hits):
+            return "comments"
+        if parts[-1] in WORDS:
+            found = "strong"
+        found = found or "weak"
+    return found
+
+
+class Page:
+    """The lines of a page and the containers around them.
+
+    ``lines`` has (text, characters inside links, container); a container is a number, ``up`` gives the one around it, ``end`` the
+    number after the last one inside it. ``suspects`` and ``marks`` are containers with what was said of them.
+    """
+
+    def __init__(self, html: str):
+        self.lines: list[tuple[str, int, int]] = []
+        self.up, self.tag, self.end = [-1], [""], [0]
+        self.suspects: dict[int, str] = {}
+        self.marks: dict[int, str] = {}
+        self._read(html)
+
+    def _open(self, up: int, tag: str) -> int:
+        self.up.append(up)
+        self.tag.append(tag)
+        self.end.append(0)
+        return len(self.up) - 1
+
+    def _read(self, html: str) -> None:
+        parts: list[str] = []
+        linked = links = 0
+        stack: list[tuple[str, int]] = []  # tag and the container that it is in or opens
+        places: dict[str, list[int]] = defaultdict(list)  # depths of every open tag
+        blocks: list[int] = []  # depths of open block elements
+        bars: list[int] = []  # depths of open elements that a paragraph outside them survives
+        articles = 0
+        dead = 0  # depth at which weightless content began, 0 for none
+        at, n, naive = 0, len(html), False
+
+        def end_line() -> None:
+            nonlocal parts, linked
+            if parts and not dead:
+                text = _SPACE.sub(" ", unescape("".join(parts))).strip()
+                if text:
+                    self.lines.append((text, linked, stack[-1][1] if stack else 0))
+            parts, linked = [], 0
+
+        def pop_to(depth: int) -> None:
+            nonlocal dead, articles, links
+            while len(stack) > depth:
+                name, node = stack.pop()
+                here = len(stack)
+                if places[name] and places[name][-1] == here:
+                    places[name].pop()
+                for held in (blocks, bars):
+                    if held and held[-1] == here:
+                        held.pop()
+                links -= name == "a"
+                articles -= name == "article"
+                if node != (stack[-1][1] if stack else 0):
+                    self.end[node] = len(self.up)
+                if dead > here:
+                    dead = 0
+
+        def add(text: str) -> None:
+            nonlocal linked
+            if text and not dead:
+                parts.append(text)
+                if links > 0:
+                    linked += len(text)
+
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                add(html[at:])
                 break
-            named = re.match(r"(/?)([^\s/>]*)(.*)", html[lt + 1 : end], re.S)
-            closing, tag, attrs, at = bool(named[1]), named[2].lower(), named[3], end + 1
-        if tag == "br":
-            add(" ")
-            continue
-        block = tag in BLOCKS
-        if block:
-            end_line()
-        if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] == tag:
+            add(html[at:lt])
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 2)
+                at = n if end < 0 else end + 3
+                continue
+            nxt = html[lt + 1 : lt + 2]
+            if nxt in ("!", "?"):
+                end = html.find(">", lt)
+                at = n if end < 0 else end + 1
+                continue
+            m = None if naive else _TAG.match(html, lt)
+            if m:
+                closing, tag, attrs, at = bool(m[1]), m[2].lower(), m[3], m.end()
+            elif not (nxt.isascii() and nxt.isalpha()) and not (nxt == "/" and html[lt + 2 : lt + 3].isalpha()):
+                add("<")
+                at = lt + 1
+                continue
+            else:
+                naive = True  # a quote is never closed: from here a tag ends at the next >
+                end = html.find(">", lt)
+                if end < 0:
+                    break
+                named = re.match(r"(/?)([^\s/>]*)(.*)", html[lt + 1 : end], re.S)
+                closing, tag, attrs, at = bool(named[1]), named[2].lower(), named[3], end + 1
+            if tag == "br":
+                add(" ")
+                continue
+            block = tag in BLOCKS
+            if block:
+                end_line()
+            if closing:
+                if places[tag]:
+                    depth = places[tag][-1]
                     # an inline end tag doesn't close blocks around it
-                    if block or tag in NEVER or not any(x in BLOCKS for x in stack[depth + 1 :]):
+                    if block or tag in NEVER or not (blocks and blocks[-1] > depth):
                         pop_to(depth)
                     else:
+                        places[tag].pop()
                         links -= tag == "a"
-                        stack[depth] = "span"
-                    break
-            continue
-        if tag in _CLOSES_P and "p" in stack:
-            depth = len(stack) - 1 - stack[::-1].index("p")
-            if not any(x in ("td", "th", "li", "div", "section", "article", "blockquote", "table") for x in stack[depth:]):
-                pop_to(depth)
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
-                if stack[depth] in same and (tag != "tr" or stack[depth] == "tr"):
+                        stack[depth] = ("", stack[depth][1])
+                continue
+            if tag in _CLOSES_P and places["p"] and not (bars and bars[-1] > places["p"][-1]):
+                pop_to(places["p"][-1])
+            elif tag in _SAME:
+                depth = max((places[x][-1] for x in _SAME[tag] if places[x]), default=-1)
+                if depth > max((places[x][-1] for x in _STOPS if places[x]), default=-1):
                     pop_to(depth)
-                    break
-        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
-            continue
-        stack.append(tag)
-        opened += 1
-        number.append(opened)
-        if not dead and (_boiler(tag, attrs, bool(article)) or (tag == "article" and "article" in stack[:-1])):
-            dead = len(stack)
-        if not article and not dead and (tag in ("article", "main") or 'itemprop="articleBody"' in attrs or 'role="main"' in attrs):
-            article = len(stack)
-        links += tag == "a"
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.I).search(html, at)
-            if not end:
-                break
+            if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
+                continue
+            node = stack[-1][1] if stack else 0
+            said = ""
             if not dead:
+                said, mark = _described(tag, attrs, articles > 0)
+                if said == "dead":
+                    dead = len(stack) + 1
+                elif said or mark or tag in HOLDS:
+                    node = self._open(node, tag)
+                    if said:
+                        self.suspects[node] = said
+                    if mark:
+                        self.marks[node] = mark
+            places[tag].append(len(stack))
+            if block:
+                blocks.append(len(stack))
+            if tag in _BARS_P:
+                bars.append(len(stack))
+            stack.append((tag, node))
+            links += tag == "a"
+            articles += tag == "article"
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                if not end:
+                    break
                 add(html[at : end.start()])
-            at = end.start()
-    end_line()
-    return out
+                at = end.start()
+        end_line()
+        pop_to(0)
+        self.end[0] = len(self.up)
 
 
-def distribution(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+def _described(tag: str, attrs: str, in_article: bool) -> tuple[str, str]:
+    """Whether an element is "dead", or what suspicion there is, and which mark of an article it bears."""
+    mark = tag if tag in ("article", "main") else ""
+    if tag in NEVER or (tag == "header" and not in_article) or (tag == "article" and in_article):
+        return "dead", ""
+    if not attrs or "=" not in attrs:
+        return ("dead" if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs) else ""), mark
+    if tag in ("html", "body"):
+        return "", ""
+    named = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
+    role = named.get("role", "").lower()
+    if role in ROLES or named.get("aria-hidden", "").lower() == "true" or "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower():
+        return "dead", ""
+    if role == "main" or named.get("itemprop") == "articleBody":
+        mark = mark or "main"
+    said = f"{named.get('class', '')} {named.get('id', '')}"
+    found = suspect(said)
+    if not found and not in_article and tag in ("div", "section", "td") and "header" in said.lower().split():
+        found = "strong"
+    return found, mark
+
+
+def distribution(weights: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
     """Surge and dive of every candidate, as a half-open range of lines."""
-    if not len(weights):
+    if not len(weights) or not weights.max():
         return []
-    # The sum at i covers the lines of the window that starts at i; before the first and after the last line there is nothing.
+    # The sum at i covers the window's lines up to i; before the first and after the last line there is nothing.
     sums = np.convolve(weights, np.ones(window, dtype=np.int64), "full")
-    up = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
-    surge, dive = np.flatnonzero(np.diff(up) == 1), np.flatnonzero(np.diff(up) == -1)
-    return [(int(a), int(min(b - window + 1, len(weights)))) for a, b in zip(surge, dive, strict=True)]
-
-
-def main_text(html: str | None) -> str:
-    lines = [x for x in lines_of(html or "") if not x[2]]
-    marked = any(inside for *_, inside, _ in lines)
-    if marked:
-        lines = [x for x in lines if x[3]]
-    weights = np.array([max(len(text) - (0 if inside else linked), 1 if inside else 0) for text, linked, _, inside, _ in lines], np.int64)
-    ranges = distribution(weights)
-    if not ranges:
+    high = np.concatenate([[0], (sums >= max(1, surge * sums.max())).astype(np.int8), [0]])
+    up, down = np.flatnonzero(np.diff(high) == 1), np.flatnonzero(np.diff(high) == -1)
+    return [(int(a), int(max(a + 1, min(b - window + 1, len(weights))))) for a, b in zip(up, down, strict=True) if a < len(weights)]
+
+
+def _spread(page: Page, own: np.ndarray) -> np.ndarray:
+    """Sums over each container and all those inside it."""
+    total = own.copy()
+    for k in range(len(total) - 1, 0, -1):
+        total[page.up[k]] += total[k]
+    return total
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    page = Page(html or "")
+    n = len(page.up)
+    if not page.lines:
+        return ""
+    texts, linked, node = zip(*page.lines, strict=True)
+    node, size = np.array(node), np.array([len(t) for t in texts])
+    free = np.maximum(size - np.array(linked), 0)
+    inside = np.zeros(n, bool)  # in a marked article
+    for k in range(1, n):
+        inside[k] = inside[page.up[k]] or k in page.marks
+    mass = _spread(page, np.bincount(node, free, n))
+    marked = _spread(page, np.bincount(node, size * inside[node], n))
+
+    gone = np.zeros(n, bool)
+    for k in range(1, n):
+        said = page.suspects.get(k)
+        if said and marked[0]:
+            around = not inside[k] or (said == "weak")  # around the article, or a vaguely named part of it
+            said = "" if said != "comments" and around and 2 * marked[k] > marked[0] else said
+        elif said == "weak" and 2 * mass[k] > mass[0]:
+            said = ""
+        gone[k] = gone[page.up[k]] or bool(said)
+    live = np.flatnonzero(~gone[node])
+    node, size, free = node[live], size[live], free[live]
+    weights = np.where(inside[node], size, free)
+    found = distribution(weights, window, surge)
+    if not found:
         return ""
-    keep = np.zeros(len(lines), bool)
-    if marked:
-        for a, b in ranges:
-            keep[a:b] = True
-        return "\n".join(lines[i][0] for i in np.flatnonzero(keep & (weights > 0)))
-    a, b = max(ranges, key=lambda r: weights[r[0] : r[1]].sum())
+    a, b = max(found, key=lambda r: weights[r[0] : r[1]].sum())
     heaviest = weights[a:b].sum()
-    # The innermost container of most of the heaviest candidate's text.
-    held: dict[tuple[int, str], int] = {}
-    for i in range(a, b):
-        for depth, x in enumerate(lines[i][4]):
-            held[(depth, x)] = held.get((depth, x), 0) + int(weights[i])
-    home = max((k for k, n in held.items() if 2 * n > heaviest), default=None, key=lambda k: k[0])
-    home = home[1] if home else None
-    for a, b in ranges:
-        if weights[a:b].sum() >= SHARE * heaviest:
-            keep[a:b] = True
-        else:
-            keep[a:b] = [home in lines[i][4] for i in range(a, b)]
-    keep &= weights > 0
-    at = np.flatnonzero(keep)
-    for i in range(at[0], at[-1]):
-        around = lines[i][4]
-        if not weights[i] and home in around:
-            keep[i] = not any(tag in LISTS for _, tag in around[around.index(home) + 1 :])
-    return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
+    held = _spread(page, np.bincount(node[a:b], weights[a:b], n))
+    home = int(np.flatnonzero(2 * held > heaviest)[-1])
+    article = around = home
+    while around > 0:  # the marked article around it: an <article>, else the outermost other mark
+        if page.marks.get(around) == "article":
+            article = around
+            break
+        article = around if around in page.marks else article
+        around = page.up[around]
+    own = (node >= article) & (node < page.end[article])
+    if page.marks.get(article):
+        keep = own
+    else:
+        # Links in lists are no part of an unmarked article, nor is what has no text of its own before or after it.
+        listed = np.zeros(n, bool)
+        for k in range(article + 1, page.end[article]):
+            listed[k] = listed[page.up[k]] or page.tag[k] in LISTS
+        keep = own & (free > 0)
+        for c, d in found:
+            if weights[c:d].sum() >= SHARE * heaviest:
+                keep[c:d] |= weights[c:d] > 0
+        at = np.flatnonzero(keep)
+        between = (np.arange(len(keep)) > at[0]) & (np.arange(len(keep)) < at[-1])
+        keep |= own & between & ~listed[node]
+    return "\n".join(texts[live[i]] for i in np.flatnonzero(keep))
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
