@@ -4,17 +4,18 @@ A document's set holds its distinct five-word shingles (A-Z lower-cased); two do
 similarity is at least a percentage. Groups are the connected components of all links.
 
 Method.
-1. One pass over the texts gives each document 128 MinHash samples, folded twice: into 32 band hashes of four samples, and into
+1. One pass over the texts gives each document 192 MinHash samples, folded twice: into 32 band hashes of six samples, and into
    an odd sketch, a bitmap in which every sample flips one bit. The exclusive or of two sketches has about as many ones as
    the samples differ in, which at high similarity tells the similarity closely.
 2. Equal sets (128-bit fingerprints of whole sets) become one class with its smallest id; groups of copies end here.
 3. Each band bucket names leaders (its smallest class, and its hub, the class with most company in all its buckets); a class is a
    candidate with its first leader and with its HUBS strongest hubs. Candidates whose sketches are far apart are dropped, the others are confirmed on full
    sets: the leader's set meets its members', in salted groups of bounded size.
-4. Confirmed links give components. Where a cluster of buckets still holds several components, its members of different
-   components are compared by sketch, in pairs of bounded blocks, and confirmed on full sets on the spot, so only links leave
-   the task. No pair that shares a bucket is left out, and pairs that are connected already are not compared. A pair at the least similarity shares no bucket with a chance below
-   1e-10 (85 %) or 1e-7 (80 %).
+4. Confirmed links give components. A bucket whose classes are in one component is done. In those that still hold several, the
+   open ones, members of different components are compared by sketch, in pairs of bounded blocks, and confirmed on full sets on the
+   spot, so only links leave the task. Open buckets that share a member form one cluster, so a text goes to one cluster however many
+   open buckets it has. No pair that shares a bucket is left out, and pairs that are connected already are not compared. A pair at
+   the least similarity shares no bucket with a chance of 3e-7 (85 %) or 6e-5 (80 %); unlike documents (30 %) share one in 2 % of pairs.
 5. Components again, over all confirmed links.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than five words: the whole sequence is the one
@@ -32,12 +33,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.graph import components
 from ..session import shared_dir
 from . import arrays as A
 from .arrays import U64, Texts
 
 SHINGLE = 5
-SAMPLES, BANDS, ROWS = 128, 32, 4
+SAMPLES, BANDS, ROWS = 192, 32, 6
 SKETCH_WORDS = 8
 #: A candidate is dropped when its estimate is this far below the least similarity (over five standard deviations).
 SLACK = 0.25
@@ -185,24 +187,6 @@ def near(x: Column, y: Column, least: float) -> Column:
     return ones <= _most(least)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component) of every id in the links (a, b): the smallest id that can be reached.
-
-    Each round takes the smallest label among the neighbours and then the label of that label; labels are cut from their
-    lineage by a checkpoint in the shared folder.
-    """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
-    while True:
-        seen = both.join(labels.select(F.col("doc_id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("c").alias("c"))
-        step = labels.join(seen, "doc_id").select("doc_id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
-        up = labels.select(F.col("doc_id").alias("c"), F.col("component").alias("up"))
-        step = step.join(up, "c").select("doc_id", "old", F.least("c", "up").alias("component")).checkpoint()
-        labels = step.select("doc_id", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
-
-
 def _compare(percent: int, least: float):
     most = _most(least)
 
@@ -297,19 +281,27 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = confirmed(texts, passed, percent).checkpoint()
     labels = components(links)
 
-    # Clusters (what any chain of shared buckets connects) that still hold several components.
-    # Every class hangs on its first leader, so only leaders need to be connected.
-    chains = led.select(F.col("first").alias("a"), F.explode("lows").alias("b")).where("a <> b").distinct()
-    heads = components(chains).select(F.col("doc_id").alias("first"), "component")
-    clusters = led.join(heads, "first", "left").select("doc_id", F.coalesce("component", "first").alias("cluster"))
-    split = clusters.join(labels, "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
-    open_ = split.groupBy("cluster").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("cluster")
-    more = across(texts, split.join(open_, "cluster").join(sketches, "doc_id"), percent).checkpoint()
+    # Open buckets still hold several components; what chains of them connect is a cluster, named by its smallest class.
+    placed = held.select("doc_id", "bucket", "low").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    placed = placed.select("doc_id", "bucket", "low", F.coalesce("component", "doc_id").alias("component")).checkpoint()
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    members = placed.join(open_, "bucket").groupBy("doc_id").agg(F.min("low").alias("first"), F.collect_set("low").alias("lows"), F.first("component").alias("component")).checkpoint()
+    if members.isEmpty():
+        return _result(signed, classes, labels)
+    # Every member hangs on its first leader, so only leaders need to be connected.
+    chains = members.select(F.col("first").alias("a"), F.explode("lows").alias("b")).where("a <> b").distinct()
+    heads = components(chains).select(F.col("id").alias("first"), F.col("component").alias("head"))
+    split = members.join(heads, "first", "left").select("doc_id", F.coalesce("head", "first").alias("cluster"), "component")
+    more = across(texts, split.join(sketches, "doc_id"), percent).checkpoint()
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
 
-    found = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return _result(signed, classes, labels)
+
+
+def _result(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
