@@ -1,10 +1,12 @@
 """WARC archives in which repeated payloads become revisit records.
 
-Method. Each page gives a small header row (id, digest, length). The headers are shuffled by payload digest and aggregated
-to the response of each digest; the headers join that table, so every revisit knows the record it refers to. Payloads are
-never shuffled by digest, so a payload that a third of all pages share costs only header rows. Records with fresh headers
-are then written by Spark's text writer (its line separator is the CRLF CRLF that ends a record), which makes each part file
-a valid gzip-compressed WARC/1.1 archive in any store that Spark can write to. Reading parses the files by Content-Length.
+Method. Each page gives a small header row (id, url, digest, length). The headers are shuffled by payload digest and aggregated to
+the response of each digest; headers of repeated digests meet it, dealt over ``SALTS`` parts of each digest, and give one decision row
+for each revisit. The decisions then meet the pages by page id and digest: payloads are never shuffled by digest, so one that a
+third of all pages share costs only header rows. Records with fresh headers are compressed one by one and written by Spark's text
+writer, whose line separator is an empty gzip member: each part file is a valid WARC/1.1 archive of one gzip member a record, in any
+store that Spark can write to, and a record can be read alone from its offset. A file holds at most ``FILE_ROWS`` records and about
+``FILE_BYTES`` bytes. Reading parses the files by Content-Length.
 
 Defined results: null payload is empty; a null url gives an empty target; white space and control characters in a url are
 percent-encoded, so a url can't end a header; payloads under the least size are all responses; rows repeated with the id of
@@ -14,6 +16,7 @@ archive without records; other columns of the input are not used.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import uuid
@@ -26,8 +29,12 @@ from ..session import shared_dir
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Pages whose payloads hold more bytes than this go on in the next file; a file is read by one task.
-FILE_ROWS = 2000
+#: Most records and, unless one record is larger, bytes of records in a file; a file is read by one task.
+FILE_ROWS, FILE_BYTES = 2000, 1 << 29
+#: Parts into which the headers of one digest are dealt.
+SALTS = 16
+#: A gzip member without content, which parts the records of a file.
+EMPTY = gzip.compress(b"", mtime=0)
 
 
 def resolve(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -37,19 +44,15 @@ def resolve(pages: DataFrame, least: int = 1000) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"),
         F.length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"),
     )
-    first = (
-        rows.where(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest")
-        .agg(F.max(F.struct("page_id", "url")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1 and _first.page_id is not null")
-    )
-    joined = rows.join(first, "payload_digest", "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
-    return joined.select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("_first.page_id")).alias("refers_to"),
-        F.when(again, F.col("_first.url")).alias("refers_url"),
+    heads = rows.where(F.col("payload_bytes") >= least).select("page_id", "url", "payload_digest")
+    first = heads.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first.page_id is not null")
+    many = first.select("payload_digest", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = heads.select("page_id", "payload_digest", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("_salt"))
+    again = salted.join(many.hint("merge"), ["payload_digest", "_salt"]).where(~F.col("page_id").eqNullSafe(F.col("_first.page_id")))
+    again = again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("_first.page_id").alias("refers_to"), F.col("_first.url").alias("refers_url")).distinct()
+    on = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    return rows.join(again.hint("merge"), on, "left").select(
+        "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to", "refers_url"
     )
 
 
@@ -62,7 +65,7 @@ def _safe(url: str) -> str:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of resolve() as WARC records, without the CRLF CRLF after each."""
+    """Rows of resolve() as WARC records, each a gzip member."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -81,14 +84,20 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(str(r['refers_to']), r['payload_digest'])}",
                     f"WARC-Refers-To-Target-URI: {_safe(r['refers_url'] or '')}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {r['refers_to']}",
                 ]
-            out.append("\r\n".join(head).encode() + b"\r\n\r\n" + http + payload)
+            out.append(gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n", 6, mtime=0))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
 def write_archives(resolved: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
-    """Write the records of ``resolved`` below ``path`` as gzip-compressed WARC files."""
+    """Write the records of ``resolved`` below ``path`` as WARC files with a gzip member for each record."""
     records = resolved.mapInArrow(_records, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_rows).text(path)
+    records.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", file_rows).text(path)
+
+
+def rows_a_file(pages: DataFrame) -> int:
+    """Records that a file may hold, by the largest payload."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    return max(1, min(FILE_ROWS, FILE_BYTES // (largest + 4096)))
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -112,8 +121,6 @@ _READ = "page_id long, url string, payload_bytes long, payload_digest string, re
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
     names = [x.split()[0] for x in _READ.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     for batch in batches:
@@ -137,7 +144,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record below ``path``; digests of responses are verified while reading."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(_read, _READ)
 
 
@@ -145,5 +152,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """The rows that op8 returns, read back from archives written below the shared folder."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(resolve(pages), path)
+    write_archives(resolve(pages), path, rows_a_file(pages))
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
