@@ -10,14 +10,14 @@ Texts of trusted documents are scored on a target without their own counts, as i
 random: equal texts get equal verdicts, since a copy of a trusted text is scored without that text's counts as well.
 
 The base rules count words, code points in words, symbols, repeated lines and words in repeated five-word windows with
-array functions inside the row. Both scores, with and without the own counts, come from one pass over the texts, and the hash of the
-text then tells which one holds.
+array functions inside the row. The hash of a text tells whether
+a trusted document has it.
 
 A bit table of fixed size (``BITS``) tells inside the scan which rows can't have a trusted id, or a trusted text's hash. Only the
 others are shuffled to meet the trusted rows, in an exact join dealt over ``SALTS`` parts of each key; the plan is the same at every
-size, and a full table costs shuffle, not rows.
+size, and a full table costs shuffle, not rows. Only texts that meet a trusted one are scored without own counts.
 
-The model (two counts for each bucket) and the bit tables, all of fixed size, are what passes through the driver.
+The model (two counts for each bucket) and the bit tables, all of fixed size, are scalar subqueries: one row each passes through the driver.
 
 Defined results: null or empty text has no words, so its base rules fail and its score is null; null labels or ids are not
 trusted; repeated label rows count once, repeated documents each; an empty table gives no rows; without any trusted row the
@@ -30,6 +30,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import shared_dir
+
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
 #: Added to every count by the plain ratio of ``model``, which ``judge`` doesn't use.
@@ -40,7 +42,7 @@ PRIOR = 16.0
 THRESHOLD = -0.1
 
 #: Bits of the table that tells which keys may be trusted, and parts into which the rows of one key are dealt.
-BITS, SALTS = 1 << 21, 16
+BITS, SALTS = 1 << 22, 16
 
 #: Repeated windows of a text up to which their places are looked up one by one.
 FEW = 16
@@ -122,21 +124,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
 
 
-def _bits(h: Column) -> list[Column]:
-    """The two bits of a hash in the table."""
-    return [F.pmod(h, F.lit(BITS)), F.pmod(F.shiftright(h, 32), F.lit(BITS))]
+def _dense(rows: DataFrame, size: int, place: str, value: Column) -> DataFrame:
+    """One row with the array of ``value`` at places 0 to ``size`` - 1; rows missing from ``rows`` have null columns."""
+    every = rows.sparkSession.range(size).withColumnRenamed("id", "_at").join(rows, F.col("_at") == F.col(place), "left")
+    one = every.agg(F.array_sort(F.collect_list(F.struct("_at", value.alias("x")))).alias("a"))
+    return one.select(F.transform("a", lambda s: s["x"]).alias("a"))
 
 
 def filter_of(keys: DataFrame, h: Column):
     """A function that tells, from the hash of a row's key, whether ``keys`` may have it: false is sure."""
-    one = keys.select(F.explode(F.array(*_bits(h))).alias("p"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
-    got = dict(one.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(bit).alias("x")).collect())  # at most BITS / 64 rows
-    table = F.split(F.lit(",".join(str(got.get(w, 0)) for w in range(BITS // 64))), ",").cast("array<long>")  # folded to a literal once
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    words = keys.groupBy(F.floor(F.pmod(h, F.lit(BITS)) / 64).alias("w")).agg(F.bit_or(bit).alias("x"))  # at most BITS / 64 rows
+    table = _dense(words, BITS // 64, "w", F.coalesce("x", F.lit(0).cast("long"))).scalar()
 
     def may_have(h: Column) -> Column:
-        first, second = (F.getbit(F.get(table, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in _bits(h))
-        return F.coalesce(first & second, F.lit(False))
+        return F.coalesce(F.getbit(F.get(table, F.floor(F.pmod(h, F.lit(BITS)) / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1, F.lit(False))
 
     return may_have
 
@@ -147,16 +149,20 @@ def _salted(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return rows.withColumn("_salt", F.floor(F.rand(3) * SALTS).cast("int")).join(many.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
-def counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[tuple[int, int, int]]:
-    """Bucket, its count over all rows of ``docs`` and its count over the trusted rows; buckets that don't occur are left out."""
+def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """b, n and t: the count of each bucket that occurs over all rows of ``docs``, and over those whose id is in ``trusted``."""
     grams = let(words(F.col("text")), lambda w: ngrams(w, buckets))
     w = docs.select(F.col("doc_id").alias("_id"), "text")
-    trusted = trusted_ids(labels)
     may_be = filter_of(trusted, F.xxhash64("_id"))
     # Buckets are counted inside the scan of all texts; the trusted ones are counted again over their own rows.
     raw = w.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     own = _salted(w.where(may_be(F.xxhash64("_id"))), trusted, ["_id"], "inner").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
-    return [tuple(r) for r in raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0))).collect()]  # at most one row a bucket
+    return raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0)).alias("t"))
+
+
+def counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[tuple[int, int, int]]:
+    """The rows of ``bucket_counts``: at most one for each bucket."""
+    return [tuple(r) for r in bucket_counts(docs, trusted_ids(labels), buckets).collect()]
 
 
 def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -182,40 +188,43 @@ def score(w: Column, ratios: list[float]) -> Column:
     return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1))
 
 
-def scores(w: Column, rows: list[tuple[int, int, int]], buckets: int = BUCKETS) -> Column:
-    """Struct of two mean ratios of an array of words, null without words: ``all`` on the whole target, ``rest`` without the words' own
-    counts in it. ``rows`` as of ``counts``, over documents that hold these words."""
-    raw, own = [0] * buckets, [0] * buckets
-    for b, n, t in rows:
-        raw[b], own[b] = n, t
-    total, target = max(sum(raw), 1), sum(own)
+class Ratios:
+    """The smoothed ratios of all buckets, as array columns to be added to the rows that are scored.
 
-    def table(x: list, kind: str) -> Column:
-        return F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")  # folded to a literal once
+    Each array is a scalar subquery that one expression uses once, so that Spark puts its value into that expression.
+    """
 
-    ratios = table([f"{math.log((t + PRIOR) / (target * n / total + PRIOR)):.6f}" for n, t in zip(raw, own, strict=True)], "double")
-    n_of, t_of = table(raw, "double"), table(own, "double")
-    zero = F.lit(0.0)
+    def __init__(self, counted: DataFrame, buckets: int = BUCKETS):
+        self.buckets = buckets
+        sums = counted.agg(F.sum("n"), F.sum("t")).first()
+        self.total, self.target = float(max(sums[0] or 1, 1)), float(sums[1] or 0)
+        n, t = F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("t", F.lit(0)).cast("double")
+        ratio = F.log((t + PRIOR) / (n * (self.target / self.total) + PRIOR))
+        self.ratio, self.n, self.t = (_dense(counted, buckets, "b", x).scalar() for x in (ratio, n, t))
 
-    def both(s: Column) -> Column:
-        size = F.size(s)
-        share = F.greatest((F.lit(float(target)) - size) / F.lit(float(total)), zero)
-        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0))) != F.get(s, i)))
-        # Every distinct bucket with how often it occurs.
-        runs = let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(size)), lambda i, j: F.struct(F.get(s, i).alias("b"), (j - i).alias("c"))))
+    def on_all(self, w: Column) -> Column:
+        """Mean ratio of an array of words on the whole target, with column _ratio; null without words."""
+        grams = ngrams(w, self.buckets)
+        return F.when(F.size(w) > 0, F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get("_ratio", b)) / (2 * F.size(w) - 1))
 
-        def add(a: Column, x: Column) -> Column:
-            rest = F.log((F.greatest(F.get(t_of, x["b"]) - x["c"], zero) + PRIOR) / (share * F.get(n_of, x["b"]) + PRIOR))
-            return F.struct((a["all"] + x["c"] * F.get(ratios, x["b"])).alias("all"), (a["rest"] + x["c"] * rest).alias("rest"))
+    def on_rest(self, w: Column) -> Column:
+        """The same on the target without the words' own counts, with columns _n and _t."""
+        zero = F.lit(0.0)
 
-        return F.aggregate(runs, F.struct(zero.alias("all"), zero.alias("rest")), add, lambda a: F.struct((a["all"] / size).alias("all"), (a["rest"] / size).alias("rest")))
+        def mean(s: Column) -> Column:
+            size = F.size(s)
+            share = F.greatest((F.lit(self.target) - size) / F.lit(self.total), zero)
+            starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0))) != F.get(s, i)))
+            # Every distinct bucket with how often it occurs.
+            runs = let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(size)), lambda i, j: F.struct(F.get(s, i).alias("b"), (j - i).alias("c"))))
+            one = lambda x: F.log((F.greatest(F.get("_t", x["b"]) - x["c"], zero) + PRIOR) / (share * F.get("_n", x["b"]) + PRIOR))
+            return F.aggregate(runs, zero, lambda a, x: a + x["c"] * one(x)) / size
 
-    return F.when(F.size(w) > 0, let(F.sort_array(ngrams(w, buckets)), both))
+        return F.when(F.size(w) > 0, let(F.sort_array(ngrams(w, self.buckets)), mean))
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Hashes (_k1, _k2) of the texts of trusted documents."""
-    trusted = trusted_ids(labels)
     may_be = filter_of(trusted, F.xxhash64("_id"))
     keyed = docs.select(F.col("doc_id").alias("_id"), "text").where(may_be(F.xxhash64("_id"))).select("_id", F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2"))
     return _salted(keyed, trusted, ["_id"], "inner").select("_k1", "_k2").distinct()
@@ -223,18 +232,28 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base counts, ``score``, ``base_failed`` and ``kept``."""
-    rows = counts(docs, labels)
+    shared_dir(docs.sparkSession)  # where the slim tables below are kept
+    ids = trusted_ids(labels).checkpoint()
+    ratios = Ratios(bucket_counts(docs, ids).checkpoint())
+    trusted = trusted_texts(docs, ids).checkpoint()
     text, h = F.col("text"), F.xxhash64("text")
-    trusted = trusted_texts(docs, labels)
     may_be = filter_of(trusted, F.col("_k1"))
-    # One struct from words bound once: a filter on `kept` must not repeat the split for every word.
-    all_ = let(words(text), lambda w: F.struct(*[c.alias(n) for n, c in signals(text, w).items()], scores(w, rows).alias("scores"))).alias("_q")
-    other = docs.where(~may_be(h)).select("*", all_, F.lit(None).cast("boolean").alias("_own"))
-    like = docs.where(may_be(h)).select("*", h.alias("_k1"), F.hash("text").alias("_k2"), all_)
-    like = _salted(like, trusted.withColumn("_own", F.lit(True)), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    out = other.unionByName(like)
+
+    def judged(rows: DataFrame, own: Column | None) -> DataFrame:
+        # One struct from words bound once: a filter on `kept` must not repeat the split for every word.
+        rows = rows.select("*", ratios.ratio.alias("_ratio"), *([] if own is None else [ratios.n.alias("_n"), ratios.t.alias("_t")]))
+
+        def all_of(w: Column) -> Column:
+            score = ratios.on_all(w) if own is None else F.when(own, ratios.on_rest(w)).otherwise(ratios.on_all(w))
+            return F.struct(*[c.alias(n) for n, c in signals(text, w).items()], score.alias("score"))
+
+        return rows.select(*docs.columns, let(words(text), all_of).alias("_q"))
+
+    other = judged(docs.where(~may_be(h)), None)
+    like = docs.where(may_be(h)).select("*", h.alias("_k1"), F.hash("text").alias("_k2"))
+    like = _salted(like, trusted.withColumn("_own", F.lit(True)), ["_k1", "_k2"], "left")
+    out = other.unionByName(judged(like, F.coalesce("_own", F.lit(False))))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
-    score = F.when(F.col("_own"), F.col("_q.scores.rest")).otherwise(F.col("_q.scores.all"))
-    kept = ~failed & F.coalesce(score >= threshold, F.lit(False))
-    return out.select(*docs.columns, failed.alias("base_failed"), kept.alias("kept"), *[F.col(f"_q.{n}").alias(n) for n in names], score.alias("score"))
+    kept = ~failed & F.coalesce(F.col("_q.score") >= threshold, F.lit(False))
+    return out.select(*docs.columns, failed.alias("base_failed"), kept.alias("kept"), *[F.col(f"_q.{n}").alias(n) for n in names], F.col("_q.score").alias("score"))
