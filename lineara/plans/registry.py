@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import holdings as H, ledger as L
 from ..session import shared_dir, table
+from . import chain_queries
 
 FLAGSHIP = "activity_histogram"
 KINDS = ["signup", "purchase", "error", "click", "view"]
@@ -278,8 +279,8 @@ def change_bps_cross(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | chain_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return _ORACLE | chain_queries.oracle_sql()
