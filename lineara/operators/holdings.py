@@ -6,7 +6,7 @@ transaction only, whose number of parts the ledger bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
 from .ledger import money, total
@@ -49,11 +49,13 @@ def split_audit(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def conservation(lines: DataFrame, orders: DataFrame) -> DataFrame:
-    """How an order's parts compare with its stated total: equal, mint (more) or burn (less), in whole cents."""
-    parts = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(money(F.col("l_extendedprice"))).alias("parts"))
+    """How an order's parts compare with its stated total: transfer (equal), mint (more) or burn (less), in whole cents; a difference
+    without a minter among the parts (flag N) is a violation."""
+    parts = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(money(F.col("l_extendedprice"))).alias("parts"), F.bool_or(F.col("l_returnflag") == "N").alias("minter"))
     rows = orders.select("o_orderkey", money(F.col("o_totalprice")).alias("stated")).join(parts, "o_orderkey", "left")
     kind = F.when(F.col("parts").isNull(), "opaque").when(F.col("parts") > F.col("stated"), "mint").when(F.col("parts") < F.col("stated"), "burn").otherwise("transfer")
-    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    broken = kind.isin("mint", "burn") & ~F.col("minter")
+    return rows.groupBy(kind.alias("kind"), F.coalesce(broken, F.lit(False)).alias("violation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def multi_entity(lines: DataFrame, least: int) -> DataFrame:
@@ -71,17 +73,3 @@ def co_moves(lines: DataFrame) -> DataFrame:
 def families(edges: DataFrame) -> DataFrame:
     """(id, family) of every id in the edges (a, b): the smallest id that can be reached, however long the way."""
     return components(edges).select("id", F.col("component").alias("family"))
-
-
-def vested(amount: Column, start: Column, duration: int, now: int) -> Column:
-    """Whole units vested at ``now``: nothing before the start, all after the end, linear and truncated between."""
-    gone = F.least(F.greatest(F.lit(now) - start, F.lit(0)), F.lit(duration))
-    return F.expr("0") + F.floor(amount.cast("decimal(28,0)") * gone.cast("decimal(10,0)") / F.lit(duration).cast("decimal(10,0)")).cast("long")
-
-
-def price_change_bps(pairs: DataFrame) -> DataFrame:
-    """Change of price q/b between two states in whole basis points by exact cross multiplication; null where a side is nothing."""
-    d = lambda c: F.col(c).cast("decimal(18,0)")
-    ok = (F.col("b0") > 0) & (F.col("q0") > 0) & (F.col("b1") > 0)
-    up, down = d("q1") * d("b0"), d("q0") * d("b1")
-    return pairs.withColumn("bps", F.when(ok, F.floor((up - down).cast("decimal(33,0)") * 10000 / down)).cast("long"))

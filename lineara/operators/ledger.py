@@ -33,13 +33,16 @@ def activity(events: DataFrame, kinds: list[str], width: int, cutoff: Column | N
 
 
 def digest(events: DataFrame, window: int) -> DataFrame:
-    """One row: what happened in the last ``window`` seconds before the newest event."""
-    last = events.agg(F.max(seconds(F.col("ts"))).alias("tip"))  # one row
-    rows = events.join(F.broadcast(last), seconds(F.col("ts")) > F.col("tip") - window)
-    return rows.agg(
-        F.count_if(F.col("event_type") == "signup").alias("births"), F.count_if(F.col("event_type") == "click").alias("moves"),
-        F.count_if(F.col("event_type") == "error").alias("burns"), F.countDistinct("user_id").alias("active"), total(F.col("value")).alias("value"),
-    )
+    """One row: what happened since ``window`` seconds before the newest event (that second included), the value born, and the busiest
+    and biggest newborn entity; ties go to the smaller id."""
+    tip = events.agg(F.max(seconds(F.col("ts")))).first()[0] or 0
+    rows = events.where(seconds(F.col("ts")) >= max(0, tip - window))
+    born = F.col("event_type") == "signup"
+    per = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(born, money(F.col("value")))).alias("v"), *[F.count_if(F.col("event_type") == k).alias(c) for k, c in (("signup", "b"), ("click", "m"), ("error", "d"))])
+    least = lambda c: F.min_by(F.struct("user_id", c), F.when(F.col(c).isNotNull(), F.struct(-F.col(c), F.col("user_id"))))
+    one = per.agg(F.sum("b").alias("births"), F.sum("m").alias("moves"), F.sum("d").alias("burns"), F.count(F.lit(1)).alias("active"), F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("value_born"), least("n").alias("x"), least("v").alias("y"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return one.select(zero("births"), zero("moves"), zero("burns"), "active", "value_born", F.col("x.user_id").alias("busiest"), F.col("x.n").alias("busiest_n"), F.col("y.user_id").alias("biggest"), F.col("y.v").cast("double").alias("biggest_value"))
 
 
 def busiest(events: DataFrame, k: int) -> DataFrame:
@@ -47,18 +50,6 @@ def busiest(events: DataFrame, k: int) -> DataFrame:
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events")).orderBy(F.desc("n_events"), "user_id").limit(k)
 
 
-def lifespans(events: DataFrame, born: str, died: str) -> DataFrame:
-    """Seconds from an entity's first ``born`` event to its first later ``died`` event, of entities with both."""
-    s = seconds(F.col("ts"))
-    first = events.where(F.col("event_type") == born).groupBy("user_id").agg(F.min(s).alias("t0"))
-    ends = events.where(F.col("event_type") == died).select("user_id", s.alias("t1"))
-    return first.join(ends, "user_id").where("t1 > t0").groupBy("user_id").agg((F.min("t1") - F.first("t0")).alias("span"))
-
-
-def histogram(rows: DataFrame, value: str, width: int) -> DataFrame:
-    return rows.groupBy((F.floor(F.col(value) / width) * width).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """The element at place n // 2 of the sorted values; found by running counts over the distinct values' buckets."""
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col("v") / 1024))
@@ -86,8 +77,15 @@ def feed(events: DataFrame, after: tuple[int, int] | None, limit: int) -> DataFr
 
 
 def resequence(events: DataFrame) -> DataFrame:
-    """Sequence numbers from 0 in each entity's own order."""
-    return events.select("user_id", "event_id", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("seq"))
+    """Sequence numbers from 0 in each entity's own order. Ranks inside the entity's days stand on the counts of its days before, so an
+    entity with a third of all rows is a task a day; rows without a time come first."""
+    day = F.coalesce(F.floor(seconds(F.col("ts")) / DAY), F.lit(-(1 << 40)))
+    rows = events.select("user_id", "event_id", "ts", day.alias("_d"))
+    counts = rows.groupBy("user_id", "_d").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("user_id", "_d", (F.sum("n").over(W.partitionBy("user_id").orderBy("_d")) - F.col("n")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("user_id", "_d").orderBy("ts", "event_id")) - 1
+    ranked = rows.withColumn("_r", rank)
+    return ranked.join(before, ["user_id", "_d"]).select("user_id", "event_id", (F.col("_r") + F.col("_before")).cast("long").alias("seq"))
 
 
 def rollback(events: DataFrame, removed: DataFrame, key: str) -> DataFrame:
@@ -114,12 +112,18 @@ def as_of(events: DataFrame, at: Column) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: int) -> DataFrame:
-    """Sessions of each entity: a new one begins when more than ``gap`` seconds have passed."""
-    w = W.partitionBy("user_id").orderBy("s", "event_id")
-    rows = events.select("user_id", "event_id", seconds(F.col("ts")).alias("s"))
-    new = F.when(F.col("s") - F.lag("s").over(w) > gap, 1).otherwise(0)
-    rows = rows.withColumn("new", new).withColumn("session", F.sum("new").over(w))
-    return rows.groupBy("user_id", "session").agg(F.min("s").alias("begins"), F.max("s").alias("ends"), F.count(F.lit(1)).alias("n_events"))
+    """Sessions of each entity, numbered from 0: a new one begins when more than ``gap`` seconds have passed.
+
+    An entity's days are cut into sessions of their own, and these few rows are stitched where a day's first session goes on from the
+    day before.
+    """
+    inside = W.partitionBy("user_id", "d").orderBy("s", "event_id")
+    rows = events.where("ts is not null").select("user_id", "event_id", seconds(F.col("ts")).alias("s")).withColumn("d", F.floor(F.col("s") / DAY))
+    rows = rows.withColumn("new", F.when(F.col("s") - F.lag("s").over(inside) > gap, 1).otherwise(0)).withColumn("k", F.sum("new").over(inside))
+    parts = rows.groupBy("user_id", "d", "k").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("user_id").orderBy("a", "b")  # one row for each of the entity's sessions
+    parts = parts.withColumn("new", F.when(F.col("a") - F.lag("b").over(order) > gap, 1).otherwise(0)).withColumn("session", F.sum("new").over(order))
+    return parts.groupBy("user_id", "session").agg(F.min("a").alias("begins"), F.max("b").alias("ends"), F.sum("n").alias("n_events"))
 
 
 def candles(trades: DataFrame, width: int) -> DataFrame:
@@ -131,14 +135,6 @@ def candles(trades: DataFrame, width: int) -> DataFrame:
     )
 
 
-def quantile_buckets(rows: DataFrame, value: Column, width: int) -> DataFrame:
-    """Histogram with running counts and shares; the window runs over buckets, not rows."""
-    counts = rows.groupBy((F.floor(value / width) * width).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    out = counts.withColumn("upto", F.sum("n").over(W.orderBy("bucket"))).withColumn("_all", F.sum("n").over(W.partitionBy()))
-    rank = lambda q: (F.col("upto") * 100 >= q * F.col("_all")) & ((F.col("upto") - F.col("n")) * 100 < q * F.col("_all"))
-    return out.select("bucket", "n", "upto", rank(50).alias("is_p50"), rank(95).alias("is_p95"))
-
-
 def flow(events: DataFrame, plus: str, minus: str) -> DataFrame:
     """Daily births and deaths with running totals; days without either are filled with zeros."""
     day = F.to_date("ts")

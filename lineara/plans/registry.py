@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import holdings as H, ledger as L
+from ..functions import exact, payload
+from ..operators import coins, holdings as H, ledger as L, tokens, traffic
 from ..session import shared_dir, table
-from . import chain_queries
+from . import chain_queries, traffic_queries
 
 FLAGSHIP = "activity_histogram"
 KINDS = ["signup", "purchase", "error", "click", "view"]
@@ -52,9 +53,10 @@ def activity_buckets(spark, sf_dir):
     return L.activity(table(spark, sf_dir, "events"), KINDS, 14400, F.lit(1704500000))
 
 
-@query(f"""SELECT count(*) FILTER (event_type = 'signup') AS births, count(*) FILTER (event_type = 'click') AS moves,
-    count(*) FILTER (event_type = 'error') AS burns, count(DISTINCT user_id) AS active, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
-    FROM events WHERE {S} > (SELECT max({S}) FROM events) - 86400""")
+@query(f"""WITH r AS (SELECT * FROM events WHERE {S} >= greatest(0, (SELECT max({S}) FROM events) - 86400)), b AS (SELECT user_id, sum(CAST(value AS DECIMAL(18,2))) AS v FROM r WHERE event_type = 'signup' GROUP BY 1),
+    n AS (SELECT user_id, count(*) AS n FROM r GROUP BY 1) SELECT count(*) FILTER (event_type = 'signup') AS births, count(*) FILTER (event_type = 'click') AS moves, count(*) FILTER (event_type = 'error') AS burns,
+    count(DISTINCT user_id) AS active, CAST((SELECT coalesce(sum(v), 0) FROM b) AS DOUBLE) AS value_born, (SELECT user_id FROM n ORDER BY n DESC, user_id LIMIT 1) AS busiest, (SELECT n FROM n ORDER BY n DESC, user_id LIMIT 1) AS busiest_n,
+    (SELECT user_id FROM b ORDER BY v DESC, user_id LIMIT 1) AS biggest, CAST((SELECT v FROM b ORDER BY v DESC, user_id LIMIT 1) AS DOUBLE) AS biggest_value FROM r""")
 def digest_window(spark, sf_dir):
     return L.digest(table(spark, sf_dir, "events"), L.DAY)
 
@@ -65,17 +67,22 @@ def busiest_entity(spark, sf_dir):
 
 
 _SPANS = f"""WITH born AS (SELECT user_id, min({S}) AS t0 FROM events WHERE event_type = 'signup' GROUP BY 1),
-    spans AS (SELECT b.user_id, min({S}) - min(t0) AS span FROM events e JOIN born b USING (user_id) WHERE event_type = 'error' AND {S} > t0 GROUP BY 1)"""
+    spans AS (SELECT {S} * 10 - t0 * 10 AS life FROM events JOIN born USING (user_id) WHERE event_type = 'error' AND {S} >= t0)"""
 
 
-@query(f"{_SPANS} SELECT span // 3600 * 3600 AS bucket, count(*) AS n FROM spans GROUP BY 1")
+def _lives(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "signup", "genesis").when(F.col("event_type") == "error", "burn")
+    return coins.lifespans(table(spark, sf_dir, "events").select(F.col("user_id").alias("covenant_id"), kind.alias("kind"), (L.seconds(F.col("ts")) * 10).alias("accepting_daa")))
+
+
+@query(f"{_SPANS} SELECT class, label, coalesce(n, 0) AS n FROM ({chain_queries._LABELS}) LEFT JOIN (SELECT {chain_queries._CLASS} AS class, count(*) AS n FROM spans GROUP BY 1) USING (class)")
 def lifespan_histogram(spark, sf_dir):
-    return L.histogram(L.lifespans(table(spark, sf_dir, "events"), "signup", "error"), "span", L.HOUR)
+    return coins.lifespan_classes(_lives(spark, sf_dir))
 
 
-@query(f"{_SPANS} SELECT span AS median FROM (SELECT span, row_number() OVER (ORDER BY span) - 1 AS i, count(*) OVER () AS n FROM spans) WHERE i = n // 2")
+@query(f"{_SPANS} SELECT life AS median FROM (SELECT life, row_number() OVER (ORDER BY life) - 1 AS i, count(*) OVER () AS n FROM spans) WHERE i = n // 2")
 def lifespan_median_upper(spark, sf_dir):
-    return L.upper_median(L.lifespans(table(spark, sf_dir, "events"), "signup", "error"), "span")
+    return L.upper_median(_lives(spark, sf_dir), "life")
 
 
 @query("""WITH b AS (SELECT l_orderkey, min(l_shipdate) AS d FROM lineitem GROUP BY 1)
@@ -115,9 +122,9 @@ def supply_split_audit(spark, sf_dir):
     return H.split_audit(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY 1)
-    SELECT CASE WHEN s IS NULL THEN 'opaque' WHEN s > CAST(o_totalprice AS DECIMAL(18,2)) THEN 'mint' WHEN s < CAST(o_totalprice AS DECIMAL(18,2)) THEN 'burn' ELSE 'transfer' END AS kind, count(*) AS n
-    FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""WITH p AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s, bool_or(l_returnflag = 'N') AS minter FROM lineitem GROUP BY 1),
+    k AS (SELECT *, CASE WHEN s IS NULL THEN 'opaque' WHEN s > CAST(o_totalprice AS DECIMAL(18,2)) THEN 'mint' WHEN s < CAST(o_totalprice AS DECIMAL(18,2)) THEN 'burn' ELSE 'transfer' END AS kind FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
+    SELECT kind, coalesce(kind IN ('mint', 'burn') AND NOT minter, false) AS violation, count(*) AS n FROM k GROUP BY 1, 2""")
 def conservation_classify(spark, sf_dir):
     return H.conservation(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
@@ -215,10 +222,14 @@ def ohlc_candles(spark, sf_dir):
     return L.candles(table(spark, sf_dir, "events").where("event_type = 'purchase'"), L.HOUR)
 
 
-@query("""WITH c AS (SELECT CAST(floor(value / 5) * 5 AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1), r AS (SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS upto, sum(n) OVER () AS a FROM c)
-    SELECT bucket, n, upto, upto * 100 >= 50 * a AND (upto - n) * 100 < 50 * a AS is_p50, upto * 100 >= 95 * a AND (upto - n) * 100 < 95 * a AS is_p95 FROM r""")
+_PLACE = "CASE " + " ".join(f"WHEN value / 10 <= {x} THEN {i}" for i, x in enumerate(traffic.LATENCIES[:-1])) + f" ELSE {len(traffic.LATENCIES) - 1} END"
+_BOUND = "[" + ", ".join(map(str, traffic.LATENCIES[:-1])) + ", NULL]"
+
+
+@query(f"""WITH c AS (SELECT {_PLACE} AS place, count(*) AS n FROM events GROUP BY 1), r AS (SELECT place, sum(n) OVER (ORDER BY place) AS upto, sum(n) OVER () AS total FROM c)
+    SELECT CAST(any_value(total) AS BIGINT) AS total, {_BOUND}[min(place) FILTER (upto >= ceil(total * 50 / 100)) + 1] AS p50, {_BOUND}[min(place) FILTER (upto >= ceil(total * 95 / 100)) + 1] AS p95 FROM r""")
 def latency_histogram_p50_p95(spark, sf_dir):
-    return L.quantile_buckets(table(spark, sf_dir, "events"), F.col("value"), 5)
+    return traffic.latency(table(spark, sf_dir, "events").select((F.col("value") / 10).alias("seconds")))
 
 
 @query("""WITH c AS (SELECT CAST(ts AS DATE) AS d, count(*) FILTER (event_type = 'signup') AS plus, count(*) FILTER (event_type = 'error') AS minus FROM events GROUP BY 1),
@@ -237,21 +248,20 @@ def template_stats(spark, sf_dir):
     )
 
 
-@query("SELECT hex(encode(left(text, 2))) AS tag, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents WHERE text <> '' GROUP BY 1")
+@query("""SELECT CASE WHEN strlen(text) < 4 THEN '' WHEN text LIKE '{"%' THEN 'json' WHEN text LIKE '7b22%' THEN 'jsonhex' ELSE 'tag:' || lower(substr(hex(encode(text)), 1, 8)) END AS tag, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes
+    FROM documents WHERE text IS NOT NULL GROUP BY 1""")
 def payload_tag_breakdown(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text <> ''")
-    return docs.groupBy(F.hex(F.encode(F.left("text", F.lit(2)), "UTF-8")).alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.groupBy(payload.payload_tag(F.encode("text", "UTF-8")).alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"))
 
 
-@query(f"""WITH w AS (SELECT event_type, user_id % 10 AS lane, strftime(ts, '%Y-%m-%d') < '2024-01-15' AS early FROM events)
-    SELECT a.event_type, a.lane, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after
-    FROM (SELECT event_type, lane, count(*) AS n FROM w WHERE early GROUP BY 1, 2) a FULL JOIN (SELECT event_type, lane, count(*) AS n FROM w WHERE NOT early GROUP BY 1, 2) b
-    ON a.event_type = b.event_type AND a.lane = b.lane WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+@query("""WITH a AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1), b AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)
+    SELECT user_id AS token_id, a.status AS was, b.status AS now, CASE WHEN a.status IS NULL THEN 'added' WHEN b.status IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (user_id) WHERE a.status IS DISTINCT FROM b.status""")
 def verdict_diff(spark, sf_dir):
-    """Classes whose count differs between two windows: both counted in one pass instead of a full outer join."""
-    ev, early = table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd") < "2024-01-15"
-    out = ev.groupBy("event_type", (F.col("user_id") % 10).alias("lane")).agg(F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"))
-    return out.where("n_before <> n_after")
+    """Entities whose last status differs between two windows, or that only one of them has."""
+    ev, at = table(spark, sf_dir, "events"), lambda d: F.lit(d).cast("timestamp_ntz")
+    last = lambda rows: rows.groupBy(F.col("user_id").alias("token_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    return tokens.status_changes(last(ev.where(F.col("ts") < at("2024-01-05"))), last(ev.where(F.col("ts") >= at("2024-01-20"))))
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_name = 'Customer#000000012' THEN 100 WHEN starts_with(c_name, 'Customer#0000001') THEN 50 WHEN contains(c_name, '12') THEN 10 END AS score FROM customer WHERE score IS NOT NULL ORDER BY score DESC, c_custkey LIMIT 25")
@@ -264,23 +274,24 @@ def search_ranked(spark, sf_dir):
 @query("""SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS HUGEINT) * least(greatest(1000000000 - CAST(floor(epoch(o_orderdate)) AS BIGINT), 0), 200000000) // 200000000 AS BIGINT) AS vested FROM orders""")
 def vesting_linear(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
-    return rows.select("o_orderkey", H.vested(F.floor("o_totalprice"), L.seconds(F.col("o_orderdate")), 200_000_000, 1_000_000_000).alias("vested"))
+    return rows.select("o_orderkey", exact.vested(F.floor("o_totalprice"), L.seconds(F.col("o_orderdate")), 200_000_000, 1_000_000_000).alias("vested"))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS d, count(*) AS b1, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS q1 FROM events GROUP BY 1),
     p AS (SELECT strftime(d, '%Y-%m-%d') AS day, lag(b1) OVER (ORDER BY d) AS b0, lag(q1) OVER (ORDER BY d) AS q0, b1, q1 FROM d)
-    SELECT day, b0, q0, b1, q1, CAST(CASE WHEN b0 > 0 AND q0 > 0 AND b1 > 0 THEN floor(CAST(CAST(q1 AS HUGEINT) * b0 - CAST(q0 AS HUGEINT) * b1 AS DOUBLE) * 10000 / (CAST(q0 AS HUGEINT) * b1)) END AS BIGINT) AS bps FROM p""")
+    SELECT day, b0, q0, b1, q1, CAST(CASE WHEN b0 > 0 AND q0 > 0 AND b1 > 0 THEN (CAST(q1 AS HUGEINT) * b0 - CAST(q0 AS HUGEINT) * b1) * 10000 // (CAST(q0 AS HUGEINT) * b1) END AS BIGINT) AS bps FROM p""")
 def change_bps_cross(spark, sf_dir):
     from pyspark.sql import Window as W
 
     day = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("b1"), F.sum(F.floor(F.col("value") * 100)).cast("long").alias("q1"))
     w = W.orderBy("day")  # one row a day
-    return H.price_change_bps(day.select("day", F.lag("b1").over(w).alias("b0"), F.lag("q1").over(w).alias("q0"), "b1", "q1"))
+    rows = day.select("day", F.lag("b1").over(w).alias("b0"), F.lag("q1").over(w).alias("q0"), "b1", "q1")
+    return rows.withColumn("bps", exact.change_bps(*[F.col(c) for c in ("q0", "b0", "q1", "b1")]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | chain_queries.queries()
+    return _QUERIES | chain_queries.queries() | traffic_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE | chain_queries.oracle_sql()
+    return _ORACLE | chain_queries.oracle_sql() | traffic_queries.oracle_sql()
