@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the columns of
 documents. The decisions of a stage take effect in its result.
+
+Defined results of all stages: no rows give no rows; repeated rows are judged alike; nulls in columns that a stage doesn't read are
+carried. Of single stages: rows without text, or with too few words, go in quality_rules and stay elsewhere; rows without an id are
+never near duplicates and stay; rows that repeat one id and text stay together with it, as near-duplicate groups keep ids; ties
+between copies go to the smallest id; long texts are read whole.
 """
 
 from __future__ import annotations

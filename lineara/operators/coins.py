@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import owners, payload as P
+from .views import moves
 
 
 def live(cells: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def families_with_sizes(members: DataFrame) -> DataFrame:
 def records(sums: DataFrame) -> DataFrame:
     """Crowns over coins' summaries: oldest alive, most traveled, richest, biggest birth, longest life. Ties go to the smaller id, and
     a coin with several crowns keeps the first."""
-    s = sums.select("*", (F.col("live_states") > 0).alias("alive"), F.greatest(F.col("event_count") - 1, F.lit(0)).alias("moves"), (F.col("last_activity_daa") - F.col("genesis_daa")).alias("lived"))
+    s = sums.select("*", (F.col("live_states") > 0).alias("alive"), moves().alias("moves"), (F.col("last_activity_daa") - F.col("genesis_daa")).alias("lived"))
     born = F.col("genesis_daa").isNotNull()
     crowns = [
         ("oldest alive", F.col("alive") & born, F.col("genesis_daa"), F.col("genesis_daa")), ("most traveled", F.col("moves") > 1, -F.col("moves"), F.col("moves")),

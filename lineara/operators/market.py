@@ -129,7 +129,7 @@ def order_states(orders: DataFrame, cells: DataFrame) -> DataFrame:
     """State of resting orders (covenant_id, expiry_daa): open while a cell is live, else filled if the cell was
     spent at or before the expiry and cancelled if later. Cells need spent_daa."""
     last = cells.groupBy("covenant_id").agg(F.bool_or(F.col("spent_block").isNull()).alias("open"), F.max("spent_daa").alias("resolved_daa"))
-    state = F.when(F.col("open"), "open").when(F.col("resolved_daa") >= F.col("expiry_daa"), "cancelled").otherwise("filled")
+    state = F.when(F.col("open"), "open").when(F.col("resolved_daa") > F.col("expiry_daa"), "cancelled").otherwise("filled")
     return orders.join(last, "covenant_id").select(*orders.columns, state.alias("state"), F.when(~F.col("open"), F.col("resolved_daa")).alias("resolved_daa"))
 
 

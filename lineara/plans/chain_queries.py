@@ -286,7 +286,7 @@ def subscriptions_match(spark, sf_dir):
     return D.matching_subscriptions(V.events(spark, sf_dir), subs)
 
 
-_SUMS = {"s": _SUMMARY, "r": "SELECT *, live_states > 0 AS alive, greatest(0, event_count - 1) AS moves, last_activity_daa - genesis_daa AS lived FROM s"}
+_SUMS = {"s": _SUMMARY, "r": "SELECT *, live_states > 0 AS alive, greatest(0, event_count - CASE WHEN genesis_daa IS NULL THEN 0 ELSE 1 END - CASE WHEN live_states = 0 THEN 1 ELSE 0 END) AS moves, last_activity_daa - genesis_daa AS lived FROM s"}
 _CROWNS = " UNION ALL ".join(
     f"(SELECT CAST({i} AS INTEGER) AS place, '{n}' AS label, covenant_id, CAST({v} AS BIGINT) AS figure FROM r WHERE {ok} ORDER BY {o}, covenant_id LIMIT 1)"
     for i, (n, ok, o, v) in enumerate([
