@@ -219,14 +219,19 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, li
         yield now, held
 
 
-#: Bytes of text for one key of the shuffle, and the fewest keys.
-KEY_BYTES, KEYS = 8 << 20, 32
+#: Bytes of text for one key and for one partition of the shuffle, and the fewest keys.
+KEY_BYTES, PARTITION_BYTES, KEYS = 8 << 20, 64 << 20, 32
 
 
-def key_count(docs: DataFrame) -> int:
-    """Keys in proportion to the bytes of text, so that the packed rows that units send to keys stay of useful size."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(KEYS, -(-int(total) // KEY_BYTES))
+def key_count(docs: DataFrame) -> tuple[int, int]:
+    """(keys, partitions) in proportion to the bytes of text.
+
+    Every unit of documents sends a packed row to nearly every key, so there are at most four keys a partition: rows of the shuffle
+    grow with units times partitions, as those of any shuffle do.
+    """
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    return min(max(KEYS, -(-total // KEY_BYTES)), max(KEYS, 4 * partitions)), partitions
 
 
 def home(ids: np.ndarray, n: int) -> np.ndarray:

@@ -321,9 +321,8 @@ def _remove(with_text: bool):
 
 def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text of every document."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = A.key_count(source)
+    keys, n = A.key_count(source)
 
     def meet(df: DataFrame, step) -> DataFrame:
         return df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(step, A.BLOBS)
