@@ -9,7 +9,8 @@ Template: ``<|im_start|>`` role, newline, text, ``<|im_end|>``, newline. Inside
 ``<|`` becomes ``<\\|`` (in roles a newline also becomes ``\\n``), so no text can hold a control string; reading from the
 left undoes it exactly.
 
-The turns are range-sorted by Spark and streamed through the tasks: a task holds the formatted text of one conversation.
+The turns are dealt by conversation, sorted by Spark and streamed through the tasks: a task holds the formatted text of one
+conversation, as its last example does, and conversations of the table are bounded by what one example may hold.
 Defined results: null text or role is empty; turns that tie are ordered by role, then text, and repeated rows stay; null
 turn numbers come first; a null conv_id is a conversation like any other; no rows give no rows; extra columns are ignored.
 """

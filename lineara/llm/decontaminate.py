@@ -114,33 +114,62 @@ def verify(d: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int((sums[n:] - sums[:-n]).max()), int(same.sum()), int(at[-1] - at[0] + 1) if len(at) else 0
 
 
+#: Pairs of one document's and the items' windows under one mask up to which they are listed one by one.
+FEW_PAIRS = 1 << 14
+
+
+def _shifts(t: Tokens, index: Index, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> set[tuple[int, int, int]]:
+    """(row, item, shift) of all hits. Documents with few are listed; in one that repeats itself, the places of each seed in document
+    and item are laid over each other instead, so that time and memory grow with the lengths of the texts and not with their product."""
+    row = t.row[at]
+    many = np.bincount(row, n, len(t.first) - 1)[row] > FEW_PAIRS
+    out: set[tuple[int, int, int]] = set()
+    one = ~many
+    pos, q = np.repeat(at[one], n[one]), index.at[A.ranges(lo[one], n[one])]
+    if len(pos):
+        r, i = t.row[pos], index.tokens.row[q]
+        out.update(map(tuple, np.unique(np.stack([r, i, (pos - t.first[r]) - (q - index.tokens.first[i])]), axis=1).T.tolist()))
+    for r in np.unique(row[many]):
+        mine = np.flatnonzero(row == r)
+        size = int(t.first[r + 1] - t.first[r])
+        seen: dict[int, np.ndarray] = {}
+        for first in np.unique(lo[mine]):  # one seed
+            places = at[mine[lo[mine] == first]] - t.first[r]
+            there = np.zeros(size, bool)
+            there[places] = True
+            for q in index.at[first : first + n[mine[lo[mine] == first][0]]]:
+                i = int(index.tokens.row[q])
+                b = int(q - index.tokens.first[i])
+                length = int(index.tokens.first[i + 1] - index.tokens.first[i])
+                line = seen.setdefault(i, np.zeros(size + length, bool))  # shift s at s + length
+                line[length - b : length - b + size] |= there
+        for i, line in seen.items():
+            length = int(index.tokens.first[i + 1] - index.tokens.first[i])
+            out.update((int(r), i, int(s) - length) for s in np.flatnonzero(line))
+    return out
+
+
 def _find(index: Index, texts: Texts) -> Iterator[tuple[int, int, int, int, int, int]]:
     """row, item, first word in the document and in the item, span, agreeing words: the best alignment of each row and item."""
     t = Tokens(texts)
-    found: dict[tuple[int, int], tuple] = {}
+    hits: set[tuple[int, int, int]] = set()
     for mask in index.masks:
         at, h = t.seeds(mask)
         maybe = np.flatnonzero(index.slots[(h % U64(_SLOTS)).astype(np.int64)])
         lo, hi = np.searchsorted(index.seed, h[maybe]), np.searchsorted(index.seed, h[maybe], "right")
-        n = hi - lo
-        pos, q = np.repeat(at[maybe], n), index.at[A.ranges(lo, n)]
-        if not len(pos):
-            continue
-        row, item = t.row[pos], index.tokens.row[q]
-        shift = (pos - t.first[row]) - (q - index.tokens.first[item])
-        for r, i, s in np.unique(np.stack([row, item, shift]), axis=1).T.tolist():
-            if (r, i, s) in found:
-                continue
-            b0, b1 = index.tokens.first[i], index.tokens.first[i + 1]
-            d0, d1 = t.first[r], t.first[r + 1]
-            lo_, hi_ = max(0, -s), min(b1 - b0, d1 - d0 - s)
-            best, agree, span = verify(t.hash[d0 + s + lo_ : d0 + s + hi_], index.tokens.hash[b0 + lo_ : b0 + hi_])
-            need = min(VERIFY, int(b1 - b0))
-            found[(r, i, s)] = (agree, span, s + lo_, lo_) if best >= least_agreeing(need) else None
+        real = hi > lo
+        if real.any():
+            hits |= _shifts(t, index, at[maybe][real], lo[real], (hi - lo)[real])
     top: dict[tuple[int, int], tuple] = {}
-    for (r, i, s), x in sorted(found.items()):
-        if x and x > top.get((r, i), (0,)):
-            top[(r, i)] = x
+    for r, i, s in sorted(hits):
+        b0, b1 = index.tokens.first[i], index.tokens.first[i + 1]
+        d0, d1 = t.first[r], t.first[r + 1]
+        lo_, hi_ = max(0, -s), min(b1 - b0, d1 - d0 - s)
+        best, agree, span = verify(t.hash[d0 + s + lo_ : d0 + s + hi_], index.tokens.hash[b0 + lo_ : b0 + hi_])
+        if best >= least_agreeing(min(VERIFY, int(b1 - b0))):
+            x = (agree, span, s + lo_, lo_)
+            if x > top.get((r, i), (0,)):
+                top[(r, i)] = x
     for (r, i), (agree, span, d, b) in top.items():
         yield r, i, d, b, span, agree
 
