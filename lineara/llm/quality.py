@@ -47,6 +47,8 @@ BITS, SALTS = 1 << 22, 16
 #: Repeated windows of a text up to which their places are looked up one by one.
 FEW = 16
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 # Fixed values of the contract.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -245,7 +247,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
         def all_of(w: Column) -> Column:
             score = ratios.on_all(w) if own is None else F.when(own, ratios.on_rest(w)).otherwise(ratios.on_all(w))
-            return F.struct(*[c.alias(n) for n, c in signals(text, w).items()], score.alias("score"))
+            return let(F.struct(*[c.alias(n) for n, c in signals(text, w).items()], score.alias("score")), verdict)
+
+        def verdict(q: Column) -> Column:
+            failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
+            kept = ~failed & F.coalesce(q["score"] >= threshold, F.lit(False))
+            return F.struct(failed.alias("base_failed"), kept.alias("kept"), *[q[n].alias(n) for n in NAMES], q["score"].alias("score"))
 
         return rows.select(*docs.columns, let(words(text), all_of).alias("_q"))
 
@@ -253,7 +260,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     like = docs.where(may_be(h)).select("*", h.alias("_k1"), F.hash("text").alias("_k2"))
     like = _salted(like, trusted.withColumn("_own", F.lit(True)), ["_k1", "_k2"], "left")
     out = other.unionByName(judged(like, F.coalesce("_own", F.lit(False))))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    failed = (F.col("_q.n_words") < 10) | (100 * F.col("_q.n_repeat_words") > 20 * F.col("_q.n_words"))
-    kept = ~failed & F.coalesce(F.col("_q.score") >= threshold, F.lit(False))
-    return out.select(*docs.columns, failed.alias("base_failed"), kept.alias("kept"), *[F.col(f"_q.{n}").alias(n) for n in names], F.col("_q.score").alias("score"))
+    # Spark puts a filter's columns into the scan: one on `kept` must find a single field to look at, or the struct is computed for each.
+    return out.select(*docs.columns, *[F.col(f"_q.{n}").alias(n) for n in ("base_failed", "kept", *NAMES, "score")])
