@@ -47,3 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+#: Folders that queries leave in the shared folder, as their results are read from them.
+KEPT = ("signed-", "posteriors-", "shard-keys-", "warc-", "pipeline-", "stream-")
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Remove the folders of queries that began more than ``hours`` ago, whose results nobody reads any more, and return their names."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    oldest = jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+    gone = []
+    for s in fs.listStatus(root):
+        name = s.getPath().getName()
+        if s.isDirectory() and name.startswith(KEPT) and s.getModificationTime() < oldest and fs.delete(s.getPath(), True):
+            gone.append(name)
+    return sorted(gone)
