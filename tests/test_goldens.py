@@ -75,8 +75,6 @@ def test_truncated_lineage_and_chains_inside_a_block(spark):
     assert kinds(inside) == ["genesis", "burn"] and alive(inside) == 0
     two = step(spark, L.Ledger.empty(spark), [tx(1, "b1", 100, "A0", [("01", 0), ("02", 0)], [out(X, 0), out(X, 1)])])
     assert kinds(two) == ["transition"]  # two authorizing inputs prove nothing
-    wait = L.pending(spark.createDataFrame([tx(9, None, None, "P0", [("A0", 0)], [])], TX), step(spark, L.Ledger.empty(spark), BLOCKS[:1])) if False else None
-    assert wait is None
 
 
 def test_pending_transactions(spark):
@@ -88,9 +86,7 @@ def test_pending_transactions(spark):
 
 def test_gap_recovery_is_idempotent(spark):
     """Events below and above a hole; the hole's genesis and a burn after it are merged and renumbered."""
-    y = coin("02", 0, [0])
     ledger = step(spark, step(spark, L.Ledger.empty(spark), BLOCKS[:1]), [tx(9, "b9", 900, "Z0", [("77", 0)], [out(X)])])
-    hole = spark.createDataFrame([tx(3, "b3", 300, "C0", [("A0", 0), ("02", 0)], [out(X), (VALUE, 0, SPK, (y, 1))])], TX)
     y_ = hashlib.sha256(f"02|0|1:{VALUE}:0:{SPK.hex().upper()}".encode()).hexdigest()
     hole = spark.createDataFrame([tx(3, "b3", 300, "C0", [("A0", 0), ("02", 0)], [out(X), (VALUE, 0, SPK, (y_, 1))])], TX)
     merged = L.recover(ledger, *L.classify(hole, ledger))
