@@ -81,9 +81,9 @@ class Texts:
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         return Texts(self.ids[rows], self.data[ranges(self.offsets[rows], lengths)], offsets)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and the row of each."""
-        gap = _DELIM[self.data]
+    def words(self, gaps: np.ndarray = _DELIM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and the row of each; ``gaps`` tells the bytes that lie between words."""
+        gap = gaps[self.data]
         first = np.zeros(len(gap) + 1, bool)
         first[self.offsets[:-1]] = True
         first = first[:-1] if len(gap) else first[:0]

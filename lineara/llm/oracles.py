@@ -77,3 +77,15 @@ g AS (SELECT *, CAST(sum(size) OVER () AS BIGINT) AS total, CAST(sum(size) OVER
 a AS (SELECT *, CASE WHEN n > 1 AND own > total // 1024 THEN run ELSE min(run) OVER (PARTITION BY major) END AS pos FROM g),
 s AS (SELECT *, CAST(least(15, pos * 16 // total) AS INTEGER) AS shard FROM a)
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc32 AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY major, minor) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+_TERMS = rf"regexp_extract_all(translate({{}}, '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+n AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w)) AS l FROM d),
+i AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS t FROM benchmark) GROUP BY ALL),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN i USING (t) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, n GROUP BY t, n),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * CAST(len(w) AS BIGINT) * n) // CAST(l AS BIGINT) AS m FROM d, n WHERE len(w) > 0),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM i JOIN w USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""

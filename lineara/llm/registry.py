@@ -1,4 +1,4 @@
-"""The ten corpus operators as queries, with SQL where SQL can state them."""
+"""The corpus operators as queries, with SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, html_text, mixing, neardup, oracles, quality, sharding, substring, suffix, warc
+from . import chat, decontaminate, html_text, lang_id, lexical, mixing, neardup, oracles, quality, sharding, substring, suffix, token_align, warc
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,22 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Vocabulary files of the two tokenizers that op12 compares.
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), token_align.Files.read(*TOKENIZERS))
+
+
+def op13_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_substring": op2_substring,
@@ -66,6 +82,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_neardup": op9_neardup,
     "op10_suffix": op10_suffix,
+    "op11_lexical": op11_lexical,
+    "op12_token_align": op12_token_align,
+    "op13_lang_id": op13_lang_id,
 }
 #: Models, hashes of Spark's own and the cutting of pages can't be stated in SQL; tests/llm has plain versions of those operators.
 _ORACLE: dict[str, str] = {
@@ -75,6 +94,7 @@ _ORACLE: dict[str, str] = {
     "op8_warc": oracles.WARC,
     "op9_neardup": oracles.NEAR,
     "op10_suffix": oracles.SUFFIX,
+    "op11_lexical": oracles.LEXICAL,
 }
 
 

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def con():
     c = duckdb.connect()
     c.execute("SET TimeZone = 'UTC'")
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
