@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import shared_dir
 from . import arrays as A
 
-UNIT, WIDE = 4 << 20, 1024
+UNIT, WIDE = 1 << 20, 1024
 #: Segments whose ids a task keeps.
-KEPT = 1_500_000
+KEPT = 600_000
 NO_ID = -(1 << 63)
 _PLAIN = np.array([0x20 < i < 0x7F for i in range(256)])  # ASCII that is no white space anywhere
 
