@@ -5,12 +5,21 @@ Method. A classifier fitted on the labels table predicts each document's posteri
 shares, fitted in numpy by one task on a sample of at most ``TRAIN_ROWS`` labelled documents, drawn by hash of the id; only the
 weights (a fixed number) come to the driver.
 
-With t tokens and posteriors p of document d, rates r >= 0 (at most ``max_rate``) minimise the squared distance of
-A r = sum of r * t * p from the targets T, in the metric of H = sum of t * p p' plus a ridge. Projected gradient:
-r <- clip(r - p' (H + ridge)^-1 (A r - T)). The ridge, a small share of the trace, keeps a domain of next to no supply, whose target can't
-be met, from outweighing the others.
-Only the domain totals (three numbers) leave the executors in an iteration, and all counts cover all documents; a document's
-rate is a fold of its posteriors over the iterations' steps, so nothing is kept per document but the posteriors.
+Documents of that sample keep the domain that their label states, as it needs no prediction; all others get what the classifier says, in
+thousandths.
+
+Documents of that sample keep the domain that their label states, as it needs no prediction; all others get what the classifier says, in
+thousandths.
+
+With t tokens and posteriors p of document d, rates r >= 0 (at most ``max_rate``, if one is given) minimise the squared distance of
+A r = sum of r * t * p from the targets T, and, among all rates that do, stay nearest to 1: a ridge of ``RIDGE`` of the mean supply
+draws each rate there. Projected gradient: the rates of an iteration are the projection clip(1 - p' m) of a step from 1, where m adds up
+the gradients (A r - T) of the iterations, each scaled by the curvature of the documents that stand between their bounds and halved
+until the objective falls. It ends where the gradient is ``TOLERANCE`` of all tokens; the scaling changes the way there and not the
+minimum.
+
+A rate depends on the posteriors alone, so documents are first added up by posteriors: at most 501,501 rows at any size of the corpus.
+Only totals leave the executors in an iteration.
 
 A document is then emitted floor(r + u) times, u uniform from a hash of its id and text.
 
@@ -24,10 +33,11 @@ from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_dir
@@ -38,11 +48,15 @@ DOMAINS = ("clean", "junk", "toxic")
 BUCKETS = 1 << 15
 #: Most labelled documents the classifier is fitted on.
 TRAIN_ROWS = 6000
-STEPS, ITERATIONS, TOLERANCE = 150, 60, 1e-4
+STEPS, ITERATIONS, TOLERANCE = 150, 200, 1e-7
 #: Standard deviations from an even spread that a word needs to take part in the classifier.
 CHANCE = 2.5
-#: Share of H's trace added to its diagonal.
-RIDGE = 1e-3
+#: Weight of the distance from rate 1, reached in two stages, and how often a step is halved at most.
+RIDGE, HALVES = (1e-2, 1e-4), 12
+#: Parts of one in which posteriors are given.
+PARTS = 1000
+#: Share of all tokens by which a mixture may miss its targets without a word in the log.
+NEAR = 1e-3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SYMBOL = np.zeros(256, np.int64)
@@ -125,11 +139,15 @@ def _parts(batches: Iterator[pa.RecordBatch], text_col: int) -> Iterator[tuple[p
             yield part, Texts.of(pa.array(range(part.num_rows), pa.int64()), part.column(text_col))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on at most ``rows`` labelled documents; their distinct buckets, not their texts, come to the driver."""
+def drawn(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(labelled_id, label) of at most ``rows`` labelled documents, drawn by hash."""
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    drawn = one.select("doc_id", label.alias("label")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
+    return one.select(F.col("doc_id").cast("long").alias("labelled_id"), label.alias("label")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
+    """Fit on at most ``rows`` labelled documents; their distinct buckets, not their texts, come to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, 1):
@@ -147,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
         yield pa.RecordBatch.from_arrays([pa.array([np.float32(model.words).tobytes()]), pa.array([np.float64(model.dense).tobytes()])], ["words", "dense"])
 
     # The sample is small and bounded, so its ids are broadcast; repeated documents may repeat rows, hence the second limit.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn(labels, rows)), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
     sample = found.mapInArrow(run, "doc_id long, buckets binary, dense array<double>, label int").orderBy("doc_id", "label").limit(rows)
     # One task holds the bounded sample and gives one row; an empty one gives one as well, or none where Spark drops the task.
     got = sample.coalesce(1).mapInArrow(fit, "words binary, dense binary").first()
@@ -156,91 +174,142 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     return Classifier(np.frombuffer(got["words"], np.float32).reshape(BUCKETS, -1), np.frombuffer(got["dense"]).reshape(-1, len(DOMAINS)))
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens and p_<domain> of every document, and u for the rounding."""
+def _known(p: np.ndarray, label: pa.Array) -> np.ndarray:
+    """Posteriors in whole parts of one; where a label is known, its domain alone."""
+    out = np.round(p * PARTS) / PARTS
+    out[:, 0] = np.maximum(0, np.round(PARTS - PARTS * out[:, 1:].sum(axis=1))) / PARTS
+    at = np.asarray(pc.fill_null(label, -1))
+    out[at >= 0] = np.eye(len(DOMAINS))[at[at >= 0]]
+    return out
+
+
+def posteriors(docs: DataFrame, model: Classifier, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens and p_<domain> of every document, and u for the rounding; without ``labels`` all of it is predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, 1):
             p, tokens = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), *(pa.array(np.round(p[:, c], 6)) for c in range(len(DOMAINS))), part.column(2)], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "u"])
+            p = _known(p, part.column(3))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), *(pa.array(p[:, c]) for c in range(len(DOMAINS))), part.column(2)], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "u"])
 
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", u.alias("u"))
+    if labels is None:
+        rows = rows.withColumn("label", F.lit(None).cast("int"))
+    else:
+        rows = rows.join(F.broadcast(drawn(labels)), F.col("doc_id") == F.col("labelled_id"), "left").select("doc_id", "text", "u", "label")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, " + "".join(f"p_{d} double, " for d in DOMAINS) + "u double")
 
 
-def fit_rates(post: DataFrame, weights: dict[str, float], max_rate: float, anchor: str | None = None) -> tuple[list[list[float]], dict]:
-    """Steps of the projected gradient, and what they reach. ``anchor``: the domain whose target is its whole supply, which sets
-    the size of the mixture; without it, the mixture has as many tokens as the input."""
+def descend(evaluate: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray, np.ndarray]]], target: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """(m, A r) at the minimum. ``evaluate`` gives for each m: the sum of t * value of a document's part of the objective, A r, and the
+    sum of t * p p' over documents between their bounds."""
+    k = len(target)
+    m = np.zeros(k)
+    reached = evaluate([m])[0][1]
+    for ridge in RIDGE:
+        rho = ridge * total / k
+        m = (reached - target) / rho if m.any() else m
+        value, reached, inner = evaluate([m])[0]
+        for _ in range(ITERATIONS):
+            gradient = reached - target - rho * m
+            if np.abs(gradient).max() <= TOLERANCE * total:
+                break
+            step = np.linalg.solve(inner + rho * np.eye(k), gradient)
+            tries = [m + step / 2**i for i in range(HALVES)]
+            whole = lambda v, x: v + x @ target + rho * (x @ x) / 2
+            now, slope = whole(value, m), gradient @ step
+            found = evaluate(tries)
+            i = next((i for i, (v, *_) in enumerate(found) if whole(v, tries[i]) <= now - 1e-4 * slope / 2**i + 1e-12 * abs(now)), None)
+            if i is None:
+                break  # as near as float64 comes
+            m, (value, reached, inner) = tries[i], found[i]
+        else:
+            raise RuntimeError(f"no end after {ITERATIONS} iterations: {reached} for {target}")
+    return m, reached
+
+
+def fit_rates(post: DataFrame, weights: dict[str, float], max_rate: float | None, anchor: str | None = None) -> tuple[list[float], dict]:
+    """m of ``rate``, and what the rates reach. ``anchor``: the domain whose target is its whole supply, which sets the size of the
+    mixture; without it, the mixture has as many tokens as the input."""
     k = len(DOMAINS)
-    p, t = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
-    sums = post.agg(*[F.sum(t * p[i] * p[j]).alias(f"h{i}{j}") for i in range(k) for j in range(k)], *[F.sum(t * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
-    h = np.array([[sums[f"h{i}{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    supply = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
+    names = [f"p_{d}" for d in DOMAINS]
+    path = f"{shared_dir(post.sparkSession)}/posteriors-{uuid.uuid4().hex}"
+    post.groupBy(*names).agg(F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0").coalesce(8).write.parquet(path)  # bounded: see above
+    cells = post.sparkSession.read.parquet(path)
+    p, t = [F.col(n) for n in names], F.col("n_tokens")
+    supply = np.array([x or 0.0 for x in cells.agg(*[F.sum(t * x) for x in p]).first()])
     share = np.array([weights.get(d, 0.0) for d in DOMAINS])
     target = share / share.sum() * supply.sum()
     if anchor:
         target = share * (supply[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)])
-    inv = np.linalg.inv(h + np.eye(k) * max(1e-9, RIDGE * np.trace(h)))
-    steps, reached = [], supply
-    for _ in range(ITERATIONS if supply.sum() else 0):
-        if np.abs(reached - target).max() <= TOLERANCE * supply.sum():
-            break
-        steps.append([float(x) for x in inv @ (reached - target)])
-        r = rate(steps, max_rate)
-        got = post.agg(*[F.sum(t * x * r) for x in p]).first()
-        new = np.array([x or 0.0 for x in got])
-        if np.abs(new - reached).max() <= 1e-5 * supply.sum():
-            break
-        reached = new
-    # Where a target can't be met (no supply, or max_rate too small) these are the least-squares figures.
-    return steps, {"supply": supply.tolist(), "target": target.tolist(), "reached": reached.tolist()}
-
-
-def rate(steps: list[list[float]], max_rate: float):
-    """The rate as an expression of the posteriors: a fold over the steps."""
-    out = F.lit(1.0)
-    if not steps:
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def evaluate(ms: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        each = cells.select(t, *p, F.posexplode(F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in ms])).alias("try", "m"))
+        ahead = F.lit(1.0) - sum(F.col("m")[i] * c for i, c in enumerate(p))
+        r = _clip(ahead, max_rate)
+        between = F.when((ahead > 0) & (F.lit(True) if max_rate is None else ahead < max_rate), t).otherwise(0)
+        sums = [F.sum(t * r * (ahead - r / 2)), *[F.sum(t * r * x) for x in p], *[F.sum(between * p[i] * p[j]) for i, j in pairs]]
+        out = []
+        for row in each.groupBy("try").agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).orderBy("try").collect():  # a row for each try
+            got, inner = list(row)[1:], np.zeros((k, k))
+            for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+                inner[i, j] = inner[j, i] = x
+            out.append((got[0], np.array(got[1 : 1 + k]), inner))
         return out
-    rows = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    return F.aggregate(rows, out, lambda r, s: F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), r - sum(x * s[i] for i, x in enumerate(p)))))
+
+    m, reached = descend(evaluate, target, supply.sum()) if supply.sum() else (np.zeros(k), supply)
+    return m.tolist(), {"supply": supply.tolist(), "target": target.tolist(), "reached": reached.tolist()}
+
+
+def _clip(x, most: float | None):
+    x = F.greatest(F.lit(0.0), x)
+    return x if most is None else F.least(F.lit(float(most)), x)
+
+
+def rate(m: list[float], max_rate: float | None):
+    """The rate as an expression of the posteriors."""
+    return _clip(F.lit(1.0) - sum(float(x) * F.col(f"p_{d}") for x, d in zip(m, DOMAINS, strict=True)), max_rate)
+
+
+def rates_of(p: np.ndarray, m: list[float], max_rate: float | None) -> np.ndarray:
+    """The same for an array of posteriors."""
+    return np.clip(1.0 - p @ np.array(m), 0.0, max_rate)
 
 
-def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float, anchor: str | None) -> tuple[Classifier, DataFrame, list[list[float]], dict]:
+def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None, anchor: str | None) -> tuple[Classifier, DataFrame, list[float], dict]:
     model = train(docs, labels)
     path = f"{shared_dir(docs.sparkSession)}/posteriors-{uuid.uuid4().hex}"
-    posteriors(docs, model).write.parquet(path)
+    posteriors(docs, model, labels).write.parquet(path)
     post = docs.sparkSession.read.parquet(path)
-    steps, said = fit_rates(post, weights, max_rate, anchor)
+    m, said = fit_rates(post, weights, max_rate, anchor)
     off = max(abs(a - b) for a, b in zip(said["reached"], said["target"], strict=True))
-    if off > 10 * TOLERANCE * max(sum(said["supply"]), 1.0):
+    if off > NEAR * max(sum(said["supply"]), 1.0):  # a target that can't be met: these are the least-squares figures
         logging.getLogger(__name__).warning("the mixture misses its targets: %s", said)
-    return model, post, steps, said
+    return model, post, m, said
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, max_rate: float = 8.0, anchor: str | None = None) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, max_rate: float | None = None, anchor: str | None = None) -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every document."""
-    _, post, steps, _ = plan(docs, labels, weights, max_rate, anchor)
-    out = post.withColumn("rate", rate(steps, max_rate))
+    _, post, m, _ = plan(docs, labels, weights, max_rate, anchor)
+    out = post.withColumn("rate", rate(m, max_rate))
     return out.withColumn("copies", F.floor(F.col("rate") + F.col("u")).cast("int")).drop("u")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, max_rate: float = 1.0, anchor: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, max_rate: float | None = 1.0, anchor: str | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
-    model, _, steps, _ = plan(docs, labels, weights, max_rate, anchor)
+    model, _, m, _ = plan(docs, labels, weights, max_rate, anchor)
     names = docs.columns
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    source = docs.select("*", u.alias("_u"))
+    known = drawn(labels).select(F.col("labelled_id").alias("_labelled_id"), F.col("label").alias("_label"))
+    source = docs.select("*", u.alias("_u")).join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("_labelled_id"), "left").drop("_labelled_id")
     text_col = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, text_col):
-            p = np.round(model.predict(texts)[0], 6)
-            r = np.ones(len(p))
-            for s in steps:
-                r = np.clip(r - p @ np.array(s), 0.0, max_rate)
+            r = rates_of(_known(model.predict(texts)[0], part.column(len(names) + 1)), m, max_rate)
             times = np.floor(r + np.asarray(part.column(len(names)))).astype(np.int64)
-            yield part.select(names).take(pa.array(np.repeat(np.arange(len(p)), times)))
+            yield part.select(names).take(pa.array(np.repeat(np.arange(len(times)), times)))
 
     return source.mapInArrow(run, docs.schema)

@@ -232,6 +232,38 @@ def test_rates_against_plain_least_squares(spark):
     assert ((got >= 0) & (got <= 4)).all() and np.allclose((got * t) @ p, said["reached"], rtol=1e-3)
 
 
+def test_rates_for_a_target_that_cannot_be_met(spark):
+    """As near to the target as a plain solver comes that sets one rate after the other; with and without a bound."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p = np.round(rng.dirichlet([8, 1, 0.3], 250), 3)
+    t = rng.integers(10, 500, 250).astype(float)
+    post = spark.createDataFrame([(i, int(t[i]), *map(float, p[i]), 0.5) for i in range(250)], "doc_id long, n_tokens long, p_clean double, p_junk double, p_toxic double, u double")
+    a = (t[:, None] * p).T
+    for most, weights, anchor in ((1.0, {"clean": 0.99, "junk": 0.01, "toxic": 0.0}, "clean"), (None, {"clean": 0.1, "junk": 0.1, "toxic": 0.8}, None)):
+        steps, said = mixing.fit_rates(post, weights, most, anchor)
+        target, r = np.array(said["target"]), np.ones(250)
+        for _ in range(3000):
+            was = r.copy()
+            for d in rng.permutation(250):
+                r[d] = np.clip(r[d] - a[:, d] @ (a @ r - target) / (a[:, d] @ a[:, d]), 0, most)
+            if np.abs(r - was).max() < 1e-10:
+                break
+        plain, found = np.linalg.norm(a @ r - target), np.linalg.norm(np.array(said["reached"]) - target)
+        assert plain > 100 and abs(found - plain) < 1e-3 * plain
+        got = np.array([x.rate for x in post.withColumn("rate", mixing.rate(steps, most)).orderBy("doc_id").collect()])
+        assert np.allclose(got, mixing.rates_of(p, steps, most)) and np.allclose(a @ got, said["reached"])
+
+
+def test_known_labels_need_no_prediction(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i} here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 3)) for i in range(20)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in mixing.rates(docs, labels, {"clean": 1.0, "toxic": 0.0}, max_rate=1.0, anchor="clean").collect()}
+    assert all((out[i].p_toxic, out[i].p_clean) == ((1.0, 0.0) if i % 8 == 3 else (0.0, 1.0)) for i in range(20))
+    assert all(out[i].rate < 1e-6 for i in (3, 11, 19)) and all(abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 for r in out.values())
+
+
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     """Every stage on nulls, repeated rows, long texts and no rows: defined results, and the columns of documents."""
     import corpus_pipeline
