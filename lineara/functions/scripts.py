@@ -132,6 +132,39 @@ def push_units(program: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
+_PUSHED = _struct(values=ArrayType(BinaryType()), last=BinaryType())
+
+
+@pandas_udf(_PUSHED)
+def pushed(witnesses: pd.Series) -> pd.DataFrame:
+    """Values that a witness pushes, small numbers included, and the data of its last operation (none if it is cut off or no push)."""
+    rows = []
+    for w in witnesses:
+        ops, cut = walk(w) if w is not None else ([], False)
+        rows.append((None if w is None else [v for *_, v in push_units(w)], ops[-1][2] if ops and not cut else None))
+    return pd.DataFrame(rows, columns=["values", "last"])
+
+
+_LAID = _struct(n=IntegerType(), gap_digest=BinaryType(), gaps=ArrayType(BinaryType()), raws=ArrayType(BinaryType()), values=ArrayType(BinaryType()))
+
+
+@pandas_udf(_LAID)
+def laid_out(programs: pd.Series) -> pd.DataFrame:
+    """A program as its pushes (whole and their values) and the bytes before, between and behind them, with a digest of the latter."""
+    rows = []
+    for p in programs:
+        if p is None:
+            rows.append((None,) * 5)
+            continue
+        found, at, gaps = push_units(p), 0, []
+        for a, b, _ in found:
+            gaps.append(p[at:a])
+            at = b
+        gaps.append(p[at:])
+        rows.append((len(found), blake2b(b"".join(gaps)), gaps, [p[a:b] for a, b, _ in found], [v for *_, v in found]))
+    return pd.DataFrame(rows, columns=["n", "gap_digest", "gaps", "raws", "values"])
+
+
 SHAPE = _struct(pushes=IntegerType(), length=IntegerType(), gap_digest=BinaryType())
 
 
@@ -290,3 +323,80 @@ def matcher(named: dict[str, list[tuple[int, bytes | None]]]):
         return pd.DataFrame(rows, columns=["template", "slots"])
 
     return match
+
+
+#: An operation of a skeleton: its code (-1: any push), fixed data, and the label of an open place.
+Item = tuple[int, bytes | None, str | None]
+
+
+def _takes(item: Item, op: int, data: bytes | None, seen: dict[str, bytes]) -> bool:
+    """Whether an operation is the item's; an open place keeps its value, and a label that is met again must have the same one."""
+    code, fixed, label = item
+    if label is None:
+        return op == code and data == fixed
+    if code == -1:
+        value = data if data is not None else b"" if op == 0 else bytes([op - 0x50]) if 0x51 <= op <= 0x60 else None
+    else:
+        value = data if op == code else None
+    return value is not None and seen.setdefault(label, value) == value
+
+
+def fits_repeated(program: bytes, prefix: list[Item], group: list[Item], suffix: list[Item], least: int = 0) -> list[tuple[str, int, bytes]] | None:
+    """(label, repeat, value) of a program that is a prefix, a group any number of times, and a suffix; repeat is -1 outside the group.
+
+    A label must have one value inside one repeat and one value outside; other repeats may differ.
+    """
+    ops, cut = walk(program)
+    extra = len(ops) - len(prefix) - len(suffix)
+    if cut or extra < 0 or (extra % len(group) if group else extra):
+        return None
+    times = extra // len(group) if group else 0
+    if times < least:
+        return None
+    outside: dict[str, bytes] = {}
+    tail = len(ops) - len(suffix)
+    out: list[tuple[str, int, bytes]] = []
+    if not all(_takes(i, op, d, outside) for i, (_, op, d) in zip(prefix, ops, strict=False)) or not all(_takes(i, op, d, outside) for i, (_, op, d) in zip(suffix, ops[tail:], strict=True)):
+        return None
+    for k in range(times):
+        seen: dict[str, bytes] = {}
+        at = len(prefix) + k * len(group)
+        if not all(_takes(i, op, d, seen) for i, (_, op, d) in zip(group, ops[at : at + len(group)], strict=True)):
+            return None
+        out += [(label, k, v) for label, v in seen.items()]
+    return [(label, -1, v) for label, v in outside.items()] + out
+
+
+_FIELD = _struct(label=StringType(), repeat=IntegerType(), value=BinaryType())
+
+
+def repeated_matcher(named: dict[str, tuple[list[Item], list[Item], list[Item], int]]):
+    """An Arrow UDF that gives the first skeleton of variable length that a program fits, and its open values by repeat."""
+
+    @pandas_udf(_struct(template=StringType(), fields=ArrayType(_FIELD)))
+    def match(programs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in programs:
+            name, found = next(((n, f) for n, x in named.items() if p is not None and (f := fits_repeated(p, *x)) is not None), (None, None))
+            rows.append((name, None if found is None else [{"label": a, "repeat": r, "value": v} for a, r, v in found]))
+        return pd.DataFrame(rows, columns=["template", "fields"])
+
+    return match
+
+
+def template_digest(program: Column, digest=h32) -> Column:
+    """Digest of a proven token program without its state: the bytes before and behind the state block, each behind its length."""
+    start = state_block(program)
+    head, tail = F.substring(program, F.lit(1), start), F.substring(program, start + 47, F.length(program))
+    return F.when(start.isNotNull(), digest(F.concat(le8(F.length(head).cast("long")), head, le8(F.length(tail).cast("long")), tail)))
+
+
+def le8(number: Column) -> Column:
+    """A whole number that isn't negative as eight little-endian bytes."""
+    digits = F.lpad(F.hex(number), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)]))
+
+
+def opens(commitment: Column, payload: Column, digest=h32) -> Column:
+    """Whether a payload is what a 32-byte commitment stands for."""
+    return F.coalesce(commitment == digest(payload), F.lit(False))

@@ -20,10 +20,13 @@ def judged_reason(kind: Column, amount: Column, minter: Column) -> Column:
     ).when(minter.isNull() | ~minter.isin(0, 1), "non-boolean minter")
 
 
-def classified(states: DataFrame, genesis: DataFrame | None = None) -> DataFrame:
+def classified(states: DataFrame, genesis: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """One row for each token and transaction: sums, kind and what is wrong with it.
 
-    ``genesis``: (token_id, txid) of proven geneses. Kinds: genesis, mint, burn, merge, split, transfer, unknown.
+    ``genesis``: (token_id, txid) of proven geneses. Kinds: genesis, mint, burn, merge, split, transfer, unknown. With ``events``
+    (token_id, txid, seq), all events of the tokens, an event without recorded cells is unknown, and cells of a transaction that has no
+    event are ``unrecorded``; either leaves the token unvalidated. Where ``states`` has a column ``why``, an unproven state's reason is
+    told.
     """
     side = lambda s: F.col("side") == s
     total = lambda s: F.coalesce(F.sum(F.when(side(s), whole(F.col("amount")))), whole(0)).cast("decimal(38,0)")
@@ -31,20 +34,29 @@ def classified(states: DataFrame, genesis: DataFrame | None = None) -> DataFrame
         F.min("seq").alias("seq"), F.count_if(side("in")).alias("n_in"), F.count_if(side("out")).alias("n_out"), total("in").alias("isum"), total("out").alias("osum"),
         F.coalesce(F.bool_or(side("in") & F.col("minter")), F.lit(False)).alias("minter_in"), F.coalesce(F.bool_or(side("out") & F.col("minter")), F.lit(False)).alias("minter_out"),
         F.bool_and(F.coalesce("proven", F.lit(False))).alias("proven"), F.min(F.when(side("in"), F.col("owner"))).alias("lo"), F.max(F.when(side("in"), F.col("owner"))).alias("hi"),
+        (F.min_by("why", F.when(F.col("why").isNotNull(), F.struct("side", "idx"))) if "why" in states.columns else F.lit(None).cast("string")).alias("why"),
     )
+    if events is not None:
+        none = {"n_in": 0, "n_out": 0, "isum": whole(0), "osum": whole(0), "minter_in": False, "minter_out": False, "proven": False}
+        has = events.select("token_id", "txid", F.col("seq").alias("_seq")).withColumn("_event", F.lit(True))
+        tx = tx.join(has, ["token_id", "txid"], "full").withColumn("_cells", F.col("n_in").isNotNull()).withColumn("seq", F.coalesce("_seq", "seq"))
+        tx = tx.withColumns({c: F.coalesce(F.col(c), v if isinstance(v, Column) else F.lit(v)) for c, v in none.items()}).withColumn("_event", F.coalesce("_event", F.lit(False)))
+    else:
+        tx = tx.withColumn("_cells", F.lit(True)).withColumn("_event", F.lit(True))
     if genesis is None:
         tx = tx.withColumn("is_genesis", F.lit(False))
     else:
         tx = tx.join(genesis.select("token_id", "txid").distinct().withColumn("is_genesis", F.lit(True)), ["token_id", "txid"], "left").withColumn("is_genesis", F.coalesce("is_genesis", F.lit(False)))
     i, o = F.col("isum"), F.col("osum")
     kind = (
-        F.when(~F.col("proven"), "unknown").when((F.col("n_in") == 0) & F.col("is_genesis"), "genesis").when(F.col("n_in") == 0, "unknown").when(F.col("n_out") == 0, "burn")
+        F.when(~F.col("_event"), "unrecorded").when(~F.col("proven"), "unknown").when((F.col("n_in") == 0) & F.col("is_genesis"), "genesis").when(F.col("n_in") == 0, "unknown").when(F.col("n_out") == 0, "burn")
         .when(o > i, "mint").when(o < i, "burn").when(F.col("n_in") > 1, "merge").when(F.col("n_out") > 1, "split").otherwise("transfer")
     )
-    moved = (F.col("n_in") > 0) & (F.col("n_out") > 0) & F.col("proven") & ~F.col("minter_in")
+    moved = F.col("_event") & (F.col("n_in") > 0) & (F.col("n_out") > 0) & F.col("proven") & ~F.col("minter_in")
     invalid = F.when(moved & F.col("minter_out"), "minter state created without a minter input").when(moved & (o > i), "outputs exceed inputs without a minter").when(moved & (o < i), "inputs exceed outputs without a minter")
     doubt = (
-        F.when(~F.col("proven"), "state unproven").when((F.col("n_in") == 0) & ~F.col("is_genesis"), "outputs without inputs outside genesis")
+        F.when(~F.col("_event"), "no event row despite state cells").when(~F.col("_cells"), "no state cells recorded")
+        .when(~F.col("proven"), F.coalesce("why", F.lit("state unproven"))).when((F.col("n_in") == 0) & ~F.col("is_genesis"), "outputs without inputs outside genesis")
         .when((F.col("n_out") == 0) & F.col("proven") & ~F.col("minter_in") & (i > 0), "terminal burn without a minter")
     )
     return tx.select(
@@ -56,7 +68,7 @@ def classified(states: DataFrame, genesis: DataFrame | None = None) -> DataFrame
 def deltas(states: DataFrame, events: DataFrame) -> DataFrame:
     """What each event moved: a row for each state created, from the single spender if there is one, and one more for what a burn
     destroys; a terminal burn gives a row for each state spent, an unknown event one row without an amount."""
-    ev = events.select("token_id", "txid", F.col("seq").alias("ev_seq"), "kind", "n_in", "n_out", "isum", "osum", "owner_in")
+    ev = events.where("kind <> 'unrecorded'").select("token_id", "txid", F.col("seq").alias("ev_seq"), "kind", "n_in", "n_out", "isum", "osum", "owner_in")
     rows = states.join(ev, ["token_id", "txid"])
     known = F.col("kind") != "unknown"
     made = rows.where(known & (F.col("side") == "out")).select("token_id", F.col("ev_seq").alias("seq"), "idx", "kind", whole(F.col("amount")).alias("amount"), "owner_in", F.col("owner").alias("owner_to"))
@@ -73,7 +85,7 @@ def deltas(states: DataFrame, events: DataFrame) -> DataFrame:
 
 def verdicts(events: DataFrame) -> DataFrame:
     """Status of each token with its first reason: invalid beats unvalidated beats verified."""
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.coalesce("seq", F.lit((1 << 63) - 1)), "txid")))
     bad = events.groupBy("token_id").agg(first("invalid").alias("i"), first("doubt").alias("d"))
     status = F.when(F.col("i").isNotNull(), "invalid").when(F.col("d").isNotNull(), "unvalidated").otherwise("verified")
     return bad.select("token_id", status.alias("status"), F.coalesce("i", "d").alias("reason"))

@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Folders that queries leave in the shared folder, as their results are read from them.
-KEPT = ("signed-", "posteriors-", "shard-keys-", "warc-", "pipeline-", "stream-")
+KEPT = ("signed-", "posteriors-", "shard-keys-", "warc-", "pipeline-", "stream-", "lexical-", "align-")
 
 
 def sweep(spark: SparkSession, hours: float) -> list[str]:
