@@ -32,11 +32,10 @@ class Ledger:
         return cls(*(spark.createDataFrame([], s) for s in (COVENANTS, EVENTS, CELLS, REORGS)))
 
 
-def covenant_id(prev_txid: Column, prev_index: Column, bound: Column) -> Column:
-    """The id that a genesis must have: a digest of the authorizing outpoint and of the outputs (index, value, version, script) bound to
-    it. The consensus rule of a network takes this function's place where it differs."""
-    text = F.array_join(F.transform(bound, lambda o: F.concat_ws(":", o["i"].cast("string"), o["value"].cast("string"), o["spk_version"].cast("string"), F.hex(o["spk_script"]))), ";")
-    return F.sha2(F.concat_ws("|", prev_txid, prev_index.cast("string"), text), 256)
+#: The id that a genesis must have, from the authorizing outpoint (txid, index) and the outputs bound to it, an array of (i, value,
+#: spk_version, spk_script). It is the network's consensus rule and has no default here: with another rule every genesis would be taken
+#: for the move of a lineage that began out of sight.
+Identity = Callable[[Column, Column, Column], Column]
 
 
 def _created(txs: DataFrame) -> DataFrame:
@@ -55,7 +54,20 @@ def _spent(txs: DataFrame, created: DataFrame, cells: DataFrame) -> DataFrame:
     return hits.withColumn("_n", first).where("_n = 1").drop("_n", "made")
 
 
-def classify(txs: DataFrame, ledger: Ledger, identity: Callable[[Column, Column, Column], Column] = covenant_id) -> tuple[DataFrame, DataFrame, DataFrame]:
+def genesis_proofs(txs: DataFrame, identity: Identity) -> DataFrame:
+    """(ord, covenant_id) of transactions that prove a covenant's genesis: all outputs bound to the id name one authorizing input, and
+    the id follows from it."""
+    bound = txs.select("ord", "inputs", F.posexplode("outputs").alias("i", "o")).where("o.covenant is not null")
+    bound = bound.groupBy("ord", F.col("o.covenant.covenant_id").alias("covenant_id")).agg(
+        F.min("o.covenant.authorizing_input").alias("lo"), F.max("o.covenant.authorizing_input").alias("hi"), F.first("inputs").alias("inputs"),
+        F.sort_array(F.collect_list(F.struct("i", F.col("o.value").alias("value"), F.col("o.spk_version").alias("spk_version"), F.col("o.spk_script").alias("spk_script")))).alias("outs"),
+    )
+    auth = F.get("inputs", F.col("lo"))
+    proof = (F.col("lo") == F.col("hi")) & (identity(auth["prev_txid"], auth["prev_index"], F.col("outs")) == F.col("covenant_id"))
+    return bound.where(proof).select("ord", "covenant_id")
+
+
+def classify(txs: DataFrame, ledger: Ledger, identity: Identity) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, created cells, spends) of a batch of accepted transactions.
 
     A covenant that is spent and made moves, one that is only spent is burnt. One that is only made has its genesis if it was never seen
@@ -69,17 +81,9 @@ def classify(txs: DataFrame, ledger: Ledger, identity: Callable[[Column, Column,
     known = ledger.covenants.select("covenant_id").distinct().withColumn("known", F.lit(True))
     rows = touched.join(first, "covenant_id").join(known, "covenant_id", "left")
 
-    # The proof: all outputs bound to the id name one authorizing input, and the id follows from it.
-    bound = txs.select("ord", "inputs", F.posexplode("outputs").alias("i", "o")).where("o.covenant is not null")
-    bound = bound.groupBy("ord", F.col("o.covenant.covenant_id").alias("covenant_id")).agg(
-        F.min("o.covenant.authorizing_input").alias("lo"), F.max("o.covenant.authorizing_input").alias("hi"), F.first("inputs").alias("inputs"),
-        F.sort_array(F.collect_list(F.struct("i", F.col("o.value").alias("value"), F.col("o.spk_version").alias("spk_version"), F.col("o.spk_script").alias("spk_script")))).alias("outs"),
-    )
-    auth = F.get("inputs", F.col("lo"))
-    proof = (F.col("lo") == F.col("hi")) & (identity(auth["prev_txid"], auth["prev_index"], F.col("outs")) == F.col("covenant_id"))
-    rows = rows.join(bound.select("ord", "covenant_id", F.coalesce(proof, F.lit(False)).alias("proof")), ["ord", "covenant_id"], "left")
+    rows = rows.join(genesis_proofs(txs, identity).withColumn("proof", F.lit(True)), ["ord", "covenant_id"], "left")
     seen = F.coalesce("known", F.lit(False)) | (F.col("first") < F.col("ord"))
-    kind = F.when((F.col("s") > 0) & (F.col("c") > 0), "transition").when(F.col("s") > 0, "burn").when(seen, "transition").when(F.col("proof"), "genesis").otherwise("transition")
+    kind = F.when((F.col("s") > 0) & (F.col("c") > 0), "transition").when(F.col("s") > 0, "burn").when(seen, "transition").when(F.coalesce("proof", F.lit(False)), "genesis").otherwise("transition")
     facts = txs.select("ord", "accepting_block", "accepting_daa", "accepting_time_ms", "tx_index", "txid", F.when(F.length("payload") > 0, F.col("payload")).alias("payload"))
     events = rows.select("ord", "covenant_id", kind.alias("kind")).join(facts, "ord")
     return events, created, spent
@@ -179,7 +183,7 @@ def late_burns(txs: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, spent
 
 
-def pending(txs: DataFrame, ledger: Ledger, identity: Callable[[Column, Column, Column], Column] = covenant_id) -> DataFrame:
+def pending(txs: DataFrame, ledger: Ledger, identity: Identity) -> DataFrame:
     """(txid, covenant_id, kind) of transactions that aren't accepted yet: each by itself, on confirmed cells only."""
     created = _created(txs)
     spent = _spent(txs, created.limit(0), ledger.cells)

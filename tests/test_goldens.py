@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineara.functions import exact as E, owners as O, payload as P, scripts as S
+from identity import covenant_id
 from lineara.operators import coins as C, feeds as D, lineage as L, market as M, tokens as T, traffic, upkeep as U
 from lineara.sources import landing, snapshots
 
@@ -34,7 +35,7 @@ BLOCKS = [tx(1, "b1", 100, "A0", [("01", 0)], [out(X)]), tx(2, "b2", 200, "B0",
 
 
 def step(spark, ledger, txs):
-    ledger = L.apply(ledger, *L.classify(spark.createDataFrame(txs, TX), ledger))
+    ledger = L.apply(ledger, *L.classify(spark.createDataFrame(txs, TX), ledger, covenant_id))
     # Lineage is cut so that plans of a chain of steps stay small.
     return L.Ledger(*(spark.createDataFrame(x.collect(), x.schema) for x in (ledger.covenants, ledger.events, ledger.cells, ledger.reorgs)))
 
@@ -80,8 +81,8 @@ def test_truncated_lineage_and_chains_inside_a_block(spark):
 def test_pending_transactions(spark):
     ledger = step(spark, L.Ledger.empty(spark), BLOCKS[:1])
     rows = [(9, None, 0, 0, 0, "P0", [("A0", 0, b"", 0)], [out(X)], b""), (10, None, 0, 0, 0, "P1", [("A0", 0, b"", 0)], [], b"")]
-    assert {tuple(r) for r in L.pending(spark.createDataFrame(rows[:1], TX), ledger).collect()} == {("P0", X, "transition")}
-    assert {tuple(r) for r in L.pending(spark.createDataFrame(rows[1:], TX), ledger).collect()} == {("P1", X, "burn")}
+    assert {tuple(r) for r in L.pending(spark.createDataFrame(rows[:1], TX), ledger, covenant_id).collect()} == {("P0", X, "transition")}
+    assert {tuple(r) for r in L.pending(spark.createDataFrame(rows[1:], TX), ledger, covenant_id).collect()} == {("P1", X, "burn")}
 
 
 def test_gap_recovery_is_idempotent(spark):
@@ -89,7 +90,7 @@ def test_gap_recovery_is_idempotent(spark):
     ledger = step(spark, step(spark, L.Ledger.empty(spark), BLOCKS[:1]), [tx(9, "b9", 900, "Z0", [("77", 0)], [out(X)])])
     y_ = hashlib.sha256(f"02|0|1:{VALUE}:0:{SPK.hex().upper()}".encode()).hexdigest()
     hole = spark.createDataFrame([tx(3, "b3", 300, "C0", [("A0", 0), ("02", 0)], [out(X), (VALUE, 0, SPK, (y_, 1))])], TX)
-    merged = L.recover(ledger, *L.classify(hole, ledger))
+    merged = L.recover(ledger, *L.classify(hole, ledger, covenant_id))
     merged = L.Ledger(*(spark.createDataFrame(f.collect(), f.schema) for f in (merged.covenants, merged.events, merged.cells, merged.reorgs)))
     events, spent = L.late_burns(spark.createDataFrame([tx(8, "b8", 800, "E0", [("C0", 1)], [])], TX), merged.cells)
     done = L.recover(merged, events, L._created(hole.limit(0)), spent)
@@ -99,7 +100,7 @@ def test_gap_recovery_is_idempotent(spark):
     assert sorted(s for s in seen if not s[0]) == [(False, 0, "genesis", 300), (False, 1, "burn", 800)]
     row = done.covenants.where(F.col("covenant_id") == y_).first()
     assert (row.genesis_daa, row.lineage_complete, row.event_count) == (300, True, 2)
-    twice = L.recover(done, *L.classify(hole, ledger))
+    twice = L.recover(done, *L.classify(hole, ledger, covenant_id))
     for a, b in ((twice.events, done.events), (twice.cells, done.cells), (twice.covenants, done.covenants)):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 

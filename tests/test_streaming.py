@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from identity import covenant_id
 from lineara.sources import landing, snapshots
 from lineara.streaming import follow, windows
 
@@ -28,7 +29,7 @@ def test_follow_applies_rolls_back_and_resumes(spark, tmp_path):
         spark.createDataFrame(list(steps), landing.STEP).coalesce(1).write.parquet(f"{root}/steps/s={n}")
 
     def run():
-        q = follow.follow(spark, f"{root}/steps/*", f"{root}/blocks", f"{root}/ledger", f"{root}/ckpt", once=True)
+        q = follow.follow(spark, f"{root}/steps/*", f"{root}/blocks", f"{root}/ledger", f"{root}/ckpt", covenant_id, once=True)
         q.awaitTermination()
         return follow.load(spark, f"{root}/ledger")[0]
 
@@ -50,6 +51,22 @@ def test_follow_applies_rolls_back_and_resumes(spark, tmp_path):
     assert again.events.count() == 3 and len(snapshots.versions(spark, f"{root}/ledger/events")) == 2
 
 
+def test_a_batch_writes_the_buckets_of_its_covenants_only(spark, tmp_path):
+    path = "file://" + str(tmp_path)
+    ids = [hashlib.sha256(f"{i}|0|0:{VALUE}:0:{SPK.hex().upper()}".encode()).hexdigest() for i in range(40)]
+    born = [(f"T{i}", 1, [(str(i), 0, b"", 0)], [(VALUE, 0, SPK, (c, 0))], b"") for i, c in enumerate(ids)]
+    blocks = spark.createDataFrame([("b1", 10, 10, 1, [], [], born), ("b2", 20, 20, 2, [], [], [("M0", 1, [("T0", 0, b"", 0)], [(VALUE, 0, SPK, (ids[0], 0))], b"")])], landing.BLOCK)
+    steps = [(1, [], [("b1", [f"T{i}" for i in range(40)])]), (2, [], [("b2", ["M0"])]), (3, ["b2"], [])]
+    for n, s in enumerate(steps):
+        ledger, done = follow.load(spark, f"{path}/ledger")
+        assert done == n - 1
+        wrote = follow.save(*follow.advance(ledger, spark.createDataFrame([s], landing.STEP), blocks, covenant_id), f"{path}/ledger", n)
+        assert len(wrote) == 1 if n else len(wrote) > 20
+    ledger, done = follow.load(spark, f"{path}/ledger")
+    assert done == 2 and ledger.events.count() == ledger.covenants.count() == 40 and ledger.cells.where("spent_block is not null").count() == 0
+    assert {r.kind for r in ledger.events.collect()} == {"genesis"} and [r.rolled_back for r in ledger.reorgs.collect()] == [1]
+
+
 def test_sightings_and_mempool(spark):
     rows = spark.createDataFrame([block("b1", 100, [("A0", "01", True), ("N0", "09", False)])], landing.BLOCK)
     assert [tuple(r) for r in landing.sightings(rows).collect()] == [("b1", "A0", 0, X, VALUE, "01", 0)]
