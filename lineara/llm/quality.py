@@ -145,10 +145,11 @@ def filter_of(keys: DataFrame, h: Column):
     return may_have
 
 
-def _salted(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """``rows`` joined with distinct ``keys``; equal keys of rows are dealt over SALTS tasks."""
+def _salted(rows: DataFrame, keys: DataFrame, on: list[str], how: str, by: list[str]) -> DataFrame:
+    """``rows`` joined with distinct ``keys``; equal keys of rows that differ in ``by`` are dealt over SALTS tasks. The salt
+    depends on the row alone, so that a task that is run again deals its rows in the same way."""
     many = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(3) * SALTS).cast("int")).join(many.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(many.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -158,7 +159,7 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     may_be = filter_of(trusted, F.xxhash64("_id"))
     # Buckets are counted inside the scan of all texts; the trusted ones are counted again over their own rows.
     raw = w.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    own = _salted(w.where(may_be(F.xxhash64("_id"))), trusted, ["_id"], "inner").select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
+    own = _salted(w.where(may_be(F.xxhash64("_id"))), trusted, ["_id"], "inner", ["_id", "text"]).select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("t"))
     return raw.join(own, "b", "left").select("b", "n", F.coalesce("t", F.lit(0)).alias("t"))
 
 
@@ -229,7 +230,7 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Hashes (_k1, _k2) of the texts of trusted documents."""
     may_be = filter_of(trusted, F.xxhash64("_id"))
     keyed = docs.select(F.col("doc_id").alias("_id"), "text").where(may_be(F.xxhash64("_id"))).select("_id", F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2"))
-    return _salted(keyed, trusted, ["_id"], "inner").select("_k1", "_k2").distinct()
+    return _salted(keyed, trusted, ["_id"], "inner", ["_id", "_k1"]).select("_k1", "_k2").distinct()
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -258,7 +259,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     other = judged(docs.where(~may_be(h)), None)
     like = docs.where(may_be(h)).select("*", h.alias("_k1"), F.hash("text").alias("_k2"))
-    like = _salted(like, trusted.withColumn("_own", F.lit(True)), ["_k1", "_k2"], "left")
+    like = _salted(like, trusted.withColumn("_own", F.lit(True)), ["_k1", "_k2"], "left", ["doc_id", "_k1"])
     out = other.unionByName(judged(like, F.coalesce("_own", F.lit(False))))
     # Spark puts a filter's columns into the scan: one on `kept` must find a single field to look at, or the struct is computed for each.
     return out.select(*docs.columns, *[F.col(f"_q.{n}").alias(n) for n in ("base_failed", "kept", *NAMES, "score")])
