@@ -168,3 +168,17 @@ def best_trials(counts: DataFrame, fees: tuple = FEES) -> DataFrame:
     best = counts.where("bad = 0").groupBy("family").agg(F.min_by(F.struct("place", "fee", "clean", "off"), F.struct(-F.col("clean"), F.col("place"), F.col("fee"))).alias("b"))
     name = F.get(F.array(*[F.lit(n) for *_, n in fees]), F.col("b.fee"))
     return best.select("family", F.when(F.col("b.place") >= 0, F.col("b.place")).alias("v_place"), name.alias("fee_model"), F.col("b.clean").alias("trades_clean"), F.col("b.off").alias("trades_off_curve"))
+
+
+def posted_orders(cells: DataFrame, pins: DataFrame, oldest: int = 8, digest: Callable[[Column], Column] = S.h32) -> DataFrame:
+    """What each covenant offered when it was posted: among its ``oldest`` spent cells the first whose revealed program is an audited
+    resting order, with that cell's score. The number is part of the rule, as a resting order lives in one or two cells."""
+    order = F.struct(F.col("created_daa").alias("d"), F.col("txid").alias("t"), F.col("output_index").alias("i"))
+    part = cells.where("spent_sig is not null").select("covenant_id", order.alias("o"), F.col("spk_script").alias("script"), F.col("spent_sig").alias("sig")).withColumn("part", F.pmod(F.xxhash64("o"), F.lit(32)))
+    for keys in (["covenant_id", "part"], ["covenant_id"]):
+        part = part.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("o"))).where(F.col("n") <= oldest)
+    shown = part.withColumn("program", S.pushed("sig")["last"]).where(F.col("program").isNotNull())
+    shown = shown.where(O.script_hash(F.col("script")) == digest(F.col("program"))).select(F.struct("covenant_id", "o").alias("id"), "program")
+    found = orders(shown, pins)
+    first = F.min_by(F.struct(*[c for c in found.columns if c != "id"], F.col("id.o.d").alias("posted_daa")), "id.o")
+    return found.groupBy(F.col("id.covenant_id").alias("covenant_id")).agg(first.alias("r")).select("covenant_id", "r.*")

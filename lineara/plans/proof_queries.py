@@ -143,7 +143,8 @@ _SCORED = """SELECT family, place, fee, base > 0 AND quote > 0 AND b0 > 0 AND b1
 _COUNTS = "SELECT family, place, fee, count(*) FILTER (on_curve AND inv) AS clean, count(*) FILTER (NOT on_curve) AS off, count(*) FILTER (on_curve AND NOT inv) AS bad FROM scored GROUP BY ALL"
 
 
-def _trials(spark, sf_dir):
+def tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with reserves that follow a curve up to rounding."""
     t = V.trades(spark, sf_dir)
     k0 = F.lit(900_000_000_000) + (F.col("seq") % 50) * 1_000_000_000
     t = t.select("market_covenant_id", "seq", F.when(F.col("seq") % 2 == 0, "buy").otherwise("sell").alias("side"), "co_covenants", k0.alias("kas_before_sompi"), (k0 + F.when(F.col("seq") % 2 == 0, 1_000_000_000).otherwise(-1_000_000_000)).alias("kas_after_sompi"))
@@ -152,7 +153,11 @@ def _trials(spark, sf_dir):
     at = lambda k: E.ceil_quotient(F.lit("20000000000000000000").cast("decimal(38,0)"), F.lit(100_000_000_000) + F.col(k))
     jump = F.when((F.substring("market_covenant_id", 1, 1) < "6") & (F.col("seq") == 700), 100_000).otherwise(0)
     t = t.withColumns({"base_before": at("kas_before_sompi"), "base_after": at("kas_after_sompi") + jump})
-    t = t.withColumns({"base_amount": F.abs(F.col("base_after") - F.col("base_before")), "quote_sompi": F.abs(F.col("kas_after_sompi") - F.col("kas_before_sompi"))})
+    return t.withColumns({"base_amount": F.abs(F.col("base_after") - F.col("base_before")), "quote_sompi": F.abs(F.col("kas_after_sompi") - F.col("kas_before_sompi"))})
+
+
+def _trials(spark, sf_dir):
+    t = tried(spark, sf_dir)
     tries = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(v).cast("long").alias("v")) for p, v in ((-1, 0), (0, 100_000_000_000), (1, 90_000_000_000))])
     candidates = t.select("market_covenant_id").distinct().select("market_covenant_id", F.substring("market_covenant_id", 1, 1).alias("family"), F.inline(tries))
     return P.trials(t, candidates)
