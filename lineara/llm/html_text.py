@@ -8,6 +8,10 @@ heaviest candidate decides: the article is the innermost container that holds mo
 container. All text of the article is kept; candidates outside it are kept if they weigh ``SHARE`` of the heaviest one and
 no article is marked. So marks only help to find the borders: a marked article with hardly any text loses to the real text.
 
+A form around the page, as some servers write it, and an article inside an article are suspects too. A form goes unless it holds
+most of the text. Inner articles are reader comments and go, unless the text of the outer one outside them is less than ``SHARE`` of theirs:
+then they are its stories.
+
 Class and id words never decide alone. A word that names boilerplate (``sidebar``, ``post-comments``) makes its element a suspect; words
 that tell a state (``has-sidebar``, ``share-enabled``) don't. A suspect is boilerplate unless it holds most of the article's text.
 
@@ -43,7 +47,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER = frozenset(
-    """head script style noscript template nav footer aside form button select textarea iframe object svg math canvas audio
+    """head script style noscript template nav footer aside button select textarea iframe object svg math canvas audio
     video dialog menu title xmp noembed noframes map""".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -234,11 +238,13 @@ class Page:
 
 def _described(tag: str, attrs: str, in_article: bool) -> tuple[str, str]:
     """Whether an element is "dead", or what suspicion there is, and which mark of an article it bears."""
-    mark = tag if tag in ("article", "main") else ""
-    if tag in NEVER or (tag == "header" and not in_article) or (tag == "article" and in_article):
+    inner = tag == "article" and in_article
+    mark = tag if tag in ("article", "main") and not inner else ""
+    by_tag = "inner" if inner else "weak" if tag == "form" else ""
+    if tag in NEVER or (tag == "header" and not in_article):
         return "dead", ""
     if not attrs or "=" not in attrs:
-        return ("dead" if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs) else ""), mark
+        return ("dead" if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs) else by_tag), mark
     if tag in ("html", "body"):
         return "", ""
     named = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
@@ -251,7 +257,7 @@ def _described(tag: str, attrs: str, in_article: bool) -> tuple[str, str]:
     found = suspect(said)
     if not found and not in_article and tag in ("div", "section", "td") and "header" in said.lower().split():
         found = "strong"
-    return found, mark
+    return (found if by_tag != "inner" or found == "comments" else by_tag) or by_tag, mark
 
 
 def distribution(weights: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
@@ -287,10 +293,23 @@ def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     mass = _spread(page, np.bincount(node, free, n))
     marked = _spread(page, np.bincount(node, size * inside[node], n))
 
+    # For each article, what the articles directly inside it hold.
+    total = _spread(page, np.bincount(node, size, n))
+    host, inner = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(1, n):
+        host[k] = host[page.up[k]]
+        if page.suspects.get(k) == "inner":
+            inner[host[k]] += total[k]
+        if page.suspects.get(k) == "inner" or page.marks.get(k) == "article":
+            host[k] = k
+
     gone = np.zeros(n, bool)
     for k in range(1, n):
         said = page.suspects.get(k)
-        if said and marked[0]:
+        if said == "inner":
+            around = host[page.up[k]]
+            said = "" if total[around] - inner[around] < SHARE * inner[around] else said
+        elif said and marked[0]:
             around = not inside[k] or (said == "weak")  # around the article, or a vaguely named part of it
             said = "" if said != "comments" and around and 2 * marked[k] > marked[0] else said
         elif said == "weak" and 2 * mass[k] > mass[0]:
@@ -317,17 +336,29 @@ def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     if page.marks.get(article):
         keep = own
     else:
-        # Links in lists are no part of an unmarked article, nor is what has no text of its own before or after it.
+        # Links in lists are no part of an unmarked article, unless the list stands between two lines of candidates in the container of
+        # one of them; nor is what has no text of its own before or after it, but for a linked paragraph of some length right before
+        # the first line.
         listed = np.zeros(n, bool)
+        around_list = np.full(n, -1)  # the container around the outermost list
         for k in range(article + 1, page.end[article]):
-            listed[k] = listed[page.up[k]] or page.tag[k] in LISTS
-        keep = own & (free > 0)
+            up = page.up[k]
+            listed[k] = listed[up] or page.tag[k] in LISTS
+            around_list[k] = around_list[up] if listed[up] else up if listed[k] else -1
+        keep, dense = own & (free > 0), np.zeros(len(node), bool)
         for c, d in found:
             if weights[c:d].sum() >= SHARE * heaviest:
                 keep[c:d] |= weights[c:d] > 0
-        at = np.flatnonzero(keep)
-        between = (np.arange(len(keep)) > at[0]) & (np.arange(len(keep)) < at[-1])
-        keep |= own & between & ~listed[node]
+                dense[c:d] |= weights[c:d] > 0
+        at, i = np.flatnonzero(keep), np.arange(len(keep))
+        between = (i > at[0]) & (i < at[-1])
+        before, after = (at[np.clip(np.searchsorted(at, i) + step, 0, len(at) - 1)] for step in (-1, 0))
+        beside = listed[node] & ((around_list[node] == node[before]) | (around_list[node] == node[after]))
+        within = between & beside & dense[before] & dense[after]
+        first = at[0]
+        if first > 0 and own[first - 1] and node[first - 1] == node[first] and size[first - 1] >= SHARE * size[at].mean():
+            keep[first - 1] = True
+        keep |= own & between & ~listed[node] | own & within
     return "\n".join(texts[live[i]] for i in np.flatnonzero(keep))
 
 

@@ -73,3 +73,39 @@ def test_edges(spark):
     out = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.extract(frame).collect()), key=str)
     assert out == sorted([(1, "u", WANT, len(WANT)), (1, "u", WANT, len(WANT)), (0, None, "a < b", 5), (3, "v", "", 0), (4, None, "", 0)], key=str)
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+P = "<p>" + "Some words of a real paragraph that goes on for a while. " * 4 + "</p>"
+TEXT = ("Some words of a real paragraph that goes on for a while. " * 4).strip()
+
+
+def test_form_around_the_page():
+    whole = f"<body><form id='aspnetForm' action='x'><div class='menu'><a>Home</a></div><div>{P * 3}<input><select><option>a</select></div></form></body>"
+    assert html_text.main_text(whole) == "\n".join([TEXT] * 3)
+    small = f"<body><div>{P * 3}<form><label>Your name, please</label><button>Go</button></form></div></body>"
+    assert html_text.main_text(small) == "\n".join([TEXT] * 3)
+    assert html_text.main_text(f"<body><form class='newsletter'>{P}</form><article>{P * 2}</article></body>") == "\n".join([TEXT] * 2)
+
+
+def test_articles_inside_an_article():
+    stories = f"<article><h1>News</h1><article><h2>A</h2>{P}</article><article><h2>B</h2>{P}</article></article>"
+    assert html_text.main_text(stories) == "\n".join(["News", "A", TEXT, "B", TEXT])
+    comments = f"<article><h1>News</h1>{P * 3}<article><h2>Reader</h2>{P}</article><article>No</article></article>"
+    assert html_text.main_text(comments) == "\n".join(["News", *[TEXT] * 3])
+    named = f"<article><h1>News</h1><article class='comment'>{P}</article><p>Short text.</p></article>"
+    assert html_text.main_text(named) == "News\nShort text."
+    # A story's own comments go, though the story stays.
+    nested = f"<article><h1>News</h1><article>{P * 2}<article>Reader says so</article></article><article>{P}</article></article>"
+    assert html_text.main_text(nested) == "\n".join(["News", *[TEXT] * 3])
+
+
+def test_links_that_belong_to_an_unmarked_article():
+    linked = "A first paragraph that is wholly a link to another page, long enough"
+    links = "<ul><li><a>One link</a></li><li><a>Two link</a></li><li><a>Three link</a></li></ul>"
+    page = f"<body><div><p><a href=x>{linked}</a></p>{P * 2}{links}{P * 2}</div></body>"
+    assert html_text.main_text(page) == "\n".join([linked, TEXT, TEXT, "One link", "Two link", "Three link", TEXT, TEXT])
+    # Lists around the text, and short lines of links before it, are menus.
+    menus = f"<body><h1>Site</h1>{links}<div><p><a>Home</a></p>{P * 2}</div>{links}<p><a>Imprint</a></p></body>"
+    assert html_text.main_text(menus) == "\n".join([TEXT] * 2)
+    deep = "<div>" * 3000 + P + "<ul><li><a>x</a>" * 3000 + P
+    assert TEXT in html_text.main_text(deep)
