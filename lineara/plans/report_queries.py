@@ -190,12 +190,37 @@ def audit_families(spark, sf_dir):
     return found.withColumns(listed | {"sample_program_hash": F.lower(F.hex("sample_program_hash"))})
 
 
-@query(V.sql(f"""SELECT (SELECT min(id) FROM laid l WHERE l.fam = g.fam) AS first_member, CASE WHEN keyed THEN 'key' ELSE 'number' END AS role, places, CASE WHEN NOT keyed THEN {_LE.replace('substr(v', 'substr(v0').replace('WHEN v', 'WHEN v0')} END AS sample_value FROM
+# Four builds over the customers: a key and a number that each stand in two places, and the program's own length; one build breaks the
+# key's agreement, one the number's, and one has numbers of two widths.
+_N = "printf('%02x01', c_custkey % 200)"
+_WIDE = "CASE WHEN c_custkey % 8 = 7 THEN '00' ELSE '' END"
+_ROLES = {
+    "units": f"""SELECT sha256('q' || c_custkey) AS id, c_custkey % 4 AS fam, CASE WHEN c_custkey % 8 = 7 THEN 81 ELSE 79 END AS length, place, v FROM customer, LATERAL (VALUES (0, sha256('k' || (c_custkey % 50))), (1, sha256('k' || (c_custkey % CASE WHEN c_custkey % 36 = 9 THEN 49 ELSE 50 END))),
+        (2, {_N} || {_WIDE}), (3, CASE WHEN c_custkey % 28 = 10 THEN '0102' ELSE {_N} END || {_WIDE}), (4, CASE WHEN c_custkey % 8 = 7 THEN '5100' ELSE '4f00' END)) p(place, v)""",
+    "open": _BUILDS["open"],
+}
+
+
+def _role_programs(spark, sf_dir):
+    k = F.col("c_custkey")
+    key = lambda n: F.sha2(F.concat(F.lit("k"), (k % n).cast("string")), 256)
+    number = F.concat(F.lpad(F.lower(F.hex(k % 200)), 2, "0"), F.lit("01"))
+    wide = k % 8 == 7
+    push = lambda x: F.concat(F.when(wide, "03").otherwise("02"), x, F.when(wide, "00").otherwise(""))
+    tail = F.lower(F.hex(k % 4 + 0xAC))
+    digits = F.concat(
+        F.lit("6b20"), key(50), F.lit("7520"), F.when(k % 36 == 9, key(49)).otherwise(key(50)), push(number), F.lit("76"), push(F.when(k % 28 == 10, F.lit("0102")).otherwise(number)),
+        F.lit("02"), F.when(wide, "5100").otherwise("4f00"), tail,
+    )
+    return table(spark, sf_dir, "customer").select(F.sha2(F.concat(F.lit("q"), k.cast("string")), 256).alias("id"), F.unhex(digits).alias("program"))
+
+
+@query(V.sql(f"""SELECT (SELECT min(id) FROM units l WHERE l.fam = g.fam) AS first_member, CASE WHEN keyed THEN 'key' ELSE 'number' END AS role, places, CASE WHEN NOT keyed THEN {_LE.replace('substr(v', 'substr(v0').replace('WHEN v', 'WHEN v0')} END AS sample_value FROM
     (SELECT fam, v0, max(n) AS n, bool_and(same) AS same, bool_and(keyed) AS keyed, bool_and(num) AS num FROM (SELECT fam, v0, id, count(*) AS n, min(v) = max(v) AS same, min(strlen(v)) = 64 AS keyed, bool_and(strlen(v) <= 16 AND v <> 'ffffffffffffffff') AS num FROM units JOIN open USING (fam, place) GROUP BY ALL) GROUP BY ALL) g
     JOIN (SELECT fam, v0, string_agg(place, ',' ORDER BY place) AS places FROM open GROUP BY ALL) USING (fam, v0) WHERE n >= 2 AND same AND (keyed OR num)
-    UNION ALL SELECT min(id), 'self_length', CAST(place AS VARCHAR), NULL FROM units SEMI JOIN open USING (fam, place) GROUP BY fam, place HAVING bool_and(coalesce(CASE WHEN strlen(v) <= 16 THEN {_LE} END = length, false))""", **_BUILDS))
+    UNION ALL SELECT min(id), 'self_length', CAST(place AS VARCHAR), NULL FROM units SEMI JOIN open USING (fam, place) GROUP BY fam, place HAVING bool_and(coalesce(CASE WHEN strlen(v) <= 16 THEN {_LE} END = length, false))""", **_ROLES))
 def audit_role_guesses(spark, sf_dir):
-    _, laid = _audited(spark, sf_dir)
+    laid = A.laid(_role_programs(spark, sf_dir))
     found = A.role_guesses(laid, A.places(laid)).withColumn("places", F.array_join(F.col("places").cast("array<string>"), ","))
     return _no_family(found, laid)
 
