@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import exact, payload
 from ..operators import coins, holdings as H, ledger as L, tokens, traffic
 from ..session import shared_dir, table
-from . import chain_queries, lookup_queries, proof_queries, report_queries, traffic_queries, view_queries
+from . import chain_queries, lineage_queries, lookup_queries, proof_queries, report_queries, traffic_queries, view_queries
 
 FLAGSHIP = "activity_histogram"
 KINDS = ["signup", "purchase", "error", "click", "view"]
@@ -290,8 +290,8 @@ def change_bps_cross(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | chain_queries.queries() | traffic_queries.queries() | view_queries.queries() | proof_queries.queries() | lookup_queries.queries() | report_queries.queries()
+    return _QUERIES | chain_queries.queries() | traffic_queries.queries() | view_queries.queries() | proof_queries.queries() | lookup_queries.queries() | report_queries.queries() | lineage_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE | chain_queries.oracle_sql() | traffic_queries.oracle_sql() | view_queries.oracle_sql() | proof_queries.oracle_sql() | lookup_queries.oracle_sql() | report_queries.oracle_sql()
+    return _ORACLE | chain_queries.oracle_sql() | traffic_queries.oracle_sql() | view_queries.oracle_sql() | proof_queries.oracle_sql() | lookup_queries.oracle_sql() | report_queries.oracle_sql() | lineage_queries.oracle_sql()
