@@ -116,11 +116,25 @@ def _cells_of(created: DataFrame) -> DataFrame:
     return created.select("txid", F.col("output_index").cast("int").alias("output_index"), "covenant_id", "value", "spk_version", "spk_script", F.col("accepting_block").alias("created_block"), F.col("accepting_daa").alias("created_daa"), *blank)
 
 
+#: Places in acceptance order, and units of score, that one task numbers together of a covenant.
+PLACES, SCORES = 1 << 16, 864_000
+
+
+def ranked(rows: DataFrame, part: Column, *order: str) -> DataFrame:
+    """Rows with ``_rank``, their place from 0 in their covenant's order. ``part`` cuts a covenant into parts that ascend with the order;
+    places inside a part stand on the counts of the parts before, so a covenant with a third of all rows is a task a part."""
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy("covenant_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("covenant_id", "_part", (F.sum("_n").over(W.partitionBy("covenant_id").orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("covenant_id", "_part").orderBy(*order)) - 1
+    return rows.withColumn("_rank", inside).join(before, ["covenant_id", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_part", "_before")
+
+
 def _numbered(events: DataFrame, before: DataFrame) -> DataFrame:
     """New events with the sequence numbers that follow those of their covenants."""
     last = before.groupBy("covenant_id").agg((F.max("seq") + 1).alias("_next"))
-    seq = F.coalesce("_next", F.lit(0)) + F.row_number().over(W.partitionBy("covenant_id").orderBy("ord")) - 1
-    return events.join(last, "covenant_id", "left").withColumn("seq", seq.cast("long")).select(*before.columns)
+    rows = ranked(events, F.floor(F.col("ord") / PLACES), "ord").join(last, "covenant_id", "left")
+    return rows.withColumn("seq", (F.coalesce("_next", F.lit(0)) + F.col("_rank")).cast("long")).select(*before.columns)
 
 
 def apply(ledger: Ledger, events: DataFrame, created: DataFrame, spent: DataFrame) -> Ledger:
@@ -155,8 +169,8 @@ def rollback(ledger: Ledger, removed: DataFrame, progress: int = 0) -> Ledger:
 
 def resequenced(events: DataFrame) -> DataFrame:
     """Events renumbered from 0 by score and old number."""
-    seq = (F.row_number().over(W.partitionBy("covenant_id").orderBy("accepting_daa", "seq")) - 1).cast("long")
-    return events.withColumn("seq", seq)
+    rows = ranked(events, F.floor(F.col("accepting_daa") / SCORES), "accepting_daa", "seq")
+    return rows.withColumn("seq", F.col("_rank").cast("long")).select(*events.columns)
 
 
 def recover(ledger: Ledger, events: DataFrame, created: DataFrame, spent: DataFrame) -> Ledger:

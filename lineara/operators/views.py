@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+#: Units of score in a day.
+SCORES = 864_000
+
 
 def moves() -> Column:
     """Moves of a coin's summary: its events but for the birth, if it was seen, and the burn, if it is retired."""
@@ -13,7 +16,7 @@ def moves() -> Column:
 
 def filtered(index: DataFrame, query: str = "", status: str | None = None, order: str = "activity", limit: int = 50) -> DataFrame:
     """Index rows by status and text, in the order of the menu; ties go to the smaller id."""
-    rows = index.where(F.lower(F.concat_ws(" ", "name", "covenant_id")).contains(query.lower()))
+    rows = index.where(F.lower(F.concat_ws(" ", "name", "covenant_id")).contains(query.lower())) if query else index
     if status is not None:
         rows = rows.where((F.col("live_states") > 0) == (status == "alive"))
     key = {"activity": F.desc("last_activity_daa"), "newest": F.desc_nulls_last("genesis_daa"), "oldest": F.asc_nulls_last("genesis_daa"), "richest": F.desc("live_value"), "moves": F.desc("moves")}[order]
@@ -24,23 +27,31 @@ def balances_at_events(events: DataFrame, cells: DataFrame) -> DataFrame:
     """(covenant_id, accepting_daa, balance): a coin's value after each score at which it has events.
 
     A live cell counts from its creation on; a spent one up to the first event after it. Both ends are changes of the balance at a score,
-    so one running sum over the coin's changes replaces a comparison of every cell with every event.
+    so one running sum over the coin's changes replaces a comparison of every cell with every event. Scans in order go over a coin's days
+    (``SCORES`` units of score), and what lies beyond a day comes from one row a day, so a coin with a third of all rows is a task a day.
     """
     at = events.select("covenant_id", "accepting_daa").distinct()
     marks = at.select("covenant_id", F.col("accepting_daa").alias("d"), F.lit(0).cast("long").alias("v"), F.lit(True).alias("event"))
     born = cells.select("covenant_id", F.col("created_daa").alias("d"), F.col("value").alias("v"), F.lit(False).alias("event"))
-    # The end of a spent cell: the first event after its creation, from a scan of both in order.
+    day, key = F.floor(F.col("d") / SCORES), ["covenant_id", "_day"]
+    days = W.partitionBy("covenant_id").orderBy("_day")  # one row a day
+    # The end of a spent cell: the first event after its creation, of the same day or else of a later one.
     spent = cells.where("spent_block is not null").select("covenant_id", F.col("created_daa").alias("d"), F.col("value").alias("v")).groupBy("covenant_id", "d").agg(F.sum("v").alias("v"))
-    both = spent.select("*", F.lit(None).cast("long").alias("e")).unionByName(at.select("covenant_id", F.col("accepting_daa").alias("d"), F.lit(None).cast("long").alias("v"), F.col("accepting_daa").alias("e")))
-    after = F.min("e").over(W.partitionBy("covenant_id").orderBy("d").rangeBetween(1, W.unboundedFollowing))
-    gone = both.withColumn("x", after).where("v is not null and x is not null").select("covenant_id", F.col("x").alias("d"), (-F.col("v")).alias("v"), F.lit(False).alias("event"))
-    changes = marks.unionByName(born).unionByName(gone).groupBy("covenant_id", "d").agg(F.sum("v").alias("v"), F.bool_or("event").alias("event"))
-    total = F.sum("v").over(W.partitionBy("covenant_id").orderBy("d"))  # one row for each of the coin's scores
-    return changes.withColumn("balance", total).where("event").select("covenant_id", F.col("d").alias("accepting_daa"), "balance")
+    both = spent.select("*", F.lit(None).cast("long").alias("e")).unionByName(at.select("covenant_id", F.col("accepting_daa").alias("d"), F.lit(None).cast("long").alias("v"), F.col("accepting_daa").alias("e"))).withColumn("_day", day)
+    later = both.groupBy(*key).agg(F.min("e").alias("_e")).select(*key, F.min("_e").over(days.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    after = F.min("e").over(W.partitionBy(*key).orderBy("d").rangeBetween(1, W.unboundedFollowing))
+    ends = both.withColumn("_same", after).where("v is not null").join(later, key).withColumn("x", F.coalesce("_same", "_later"))
+    gone = ends.where("x is not null").select("covenant_id", F.col("x").alias("d"), (-F.col("v")).alias("v"), F.lit(False).alias("event"))
+    changes = marks.unionByName(born).unionByName(gone).groupBy("covenant_id", "d").agg(F.sum("v").alias("v"), F.bool_or("event").alias("event")).withColumn("_day", day)
+    before = changes.groupBy(*key).agg(F.sum("v").alias("_v")).select(*key, (F.sum("_v").over(days) - F.col("_v")).alias("_before"))
+    total = F.sum("v").over(W.partitionBy(*key).orderBy("d"))  # one row for each score of the day
+    rows = changes.withColumn("_total", total).where("event").join(before, key)
+    return rows.select("covenant_id", F.col("d").alias("accepting_daa"), (F.col("_total") + F.col("_before")).alias("balance"))
 
 
 def holder_ranks(held: DataFrame, limit: int) -> DataFrame:
-    """The largest positive balances of each token with their rank and share of the token's total."""
+    """The largest positive balances of each token with their rank and share of the token's total. Spark keeps ``limit`` rows of a token
+    in each task before the shuffle, as the rank is filtered by a number."""
     rows = held.where("balance > 0")
     total = rows.groupBy("token_id").agg(F.sum("balance").alias("total"))
     rank = F.row_number().over(W.partitionBy("token_id").orderBy(F.desc("balance"), "owner"))

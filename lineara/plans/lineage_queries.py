@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from ..operators import lineage as L
+from ..operators import lineage as L, repair as R
 from ..session import shared_dir, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +205,50 @@ def gap_recovered_covenants(spark, sf_dir):
     return _recovered(spark, sf_dir).covenants
 
 
+def _edges(txs: DataFrame) -> tuple[int, int, int]:
+    """The scores at three and four tenths of the newest one, and that one."""
+    top = txs.agg(F.max("accepting_daa")).first()[0] or 0
+    return top * 3 // 10, top * 4 // 10, top
+
+
+@query(_sql(_covenants("e"), **_kinds("e", "SELECT k FROM txs")))
+def gap_rescued_covenants(spark, sf_dir):
+    """A ledger that missed a range of scores and got it back, geneses included, is the one that missed nothing."""
+    txs = _landed(spark, sf_dir)
+    lo, hi, stop = _edges(txs)
+    ledger = _kept(_ledger(txs.where(~F.col("accepting_daa").between(lo, hi))))
+    return R.recover_gap(ledger, txs, lo, hi, stop, _identity).covenants
+
+
+@query(_sql("SELECT f.cov AS covenant_id, txid AS genesis_txid, p.k IS NOT NULL AS ok FROM (SELECT cov, min(k) AS k FROM outs GROUP BY 1) f JOIN txs USING (k) LEFT JOIN proofs p ON p.k = f.k AND p.cov = f.cov"))
+def geneses_audited(spark, sf_dir):
+    """Every covenant's first transaction, stated as its genesis, against the id rule."""
+    txs = _landed(spark, sf_dir)
+    first = L._created(txs).groupBy("covenant_id").agg(F.min_by("txid", "ord").alias("genesis_txid"))
+    ledger = L.Ledger.empty(spark)
+    ledger.covenants = first
+    return R.audited(ledger, txs, _identity)
+
+
+_BEGUN = {
+    **_kinds("e", "SELECT k FROM txs WHERE daa > (SELECT edge // 2 FROM cut)"),
+    "firsts": "SELECT cov, min(k) AS k FROM e GROUP BY 1 HAVING arg_min(kind, k) <> 'genesis'",
+    "missed": "SELECT o.k, o.cov, o.txid, o.idx FROM outs o JOIN firsts f ON f.cov = o.cov WHERE o.k < f.k",
+    "steps": "SELECT k, cov, lead(k) OVER (PARTITION BY cov ORDER BY k) AS next FROM (SELECT DISTINCT k, cov FROM missed)",
+    "whole": """SELECT DISTINCT cov FROM steps JOIN proofs USING (k, cov) WHERE cov NOT IN (SELECT m.cov FROM missed m JOIN steps s ON s.k = m.k AND s.cov = m.cov JOIN firsts f ON f.cov = m.cov
+        WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.k = coalesce(s.next, f.k) AND ins.txid = m.txid AND ins.idx = m.idx))""",
+    "begun": "SELECT k, cov, kind FROM e UNION ALL SELECT s.k, cov, CASE WHEN p.k IS NOT NULL THEN 'genesis' ELSE 'transition' END FROM steps s SEMI JOIN whole USING (cov) LEFT JOIN proofs p USING (k, cov)",
+}
+
+
+@query(_sql(_EVENTS.format("begun"), **_BEGUN))
+def beginnings_restored(spark, sf_dir):
+    """Events of a ledger that began late, with the beginnings that can be proven put before them."""
+    txs = _landed(spark, sf_dir)
+    ledger = _kept(_ledger(txs.where(F.col("accepting_daa") > F.call_function("div", _cut(txs), F.lit(2)))))
+    return R.with_beginnings(ledger, txs, _identity).events.select("covenant_id", "seq", "kind", "txid", "accepting_daa")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
