@@ -116,8 +116,8 @@ def _cells_of(created: DataFrame) -> DataFrame:
     return created.select("txid", F.col("output_index").cast("int").alias("output_index"), "covenant_id", "value", "spk_version", "spk_script", F.col("accepting_block").alias("created_block"), F.col("accepting_daa").alias("created_daa"), *blank)
 
 
-#: Places in acceptance order, and units of score, that one task numbers together of a covenant.
-PLACES, SCORES = 1 << 16, 864_000
+#: Units of score that one task numbers together of a covenant.
+SCORES = 864_000
 
 
 def ranked(rows: DataFrame, part: Column, *order: str) -> DataFrame:
@@ -131,10 +131,10 @@ def ranked(rows: DataFrame, part: Column, *order: str) -> DataFrame:
 
 
 def _numbered(events: DataFrame, before: DataFrame) -> DataFrame:
-    """New events with the sequence numbers that follow those of their covenants."""
+    """New events with the sequence numbers that follow those of their covenants. Only a batch's rows are put in order."""
     last = before.groupBy("covenant_id").agg((F.max("seq") + 1).alias("_next"))
-    rows = ranked(events, F.floor(F.col("ord") / PLACES), "ord").join(last, "covenant_id", "left")
-    return rows.withColumn("seq", (F.coalesce("_next", F.lit(0)) + F.col("_rank")).cast("long")).select(*before.columns)
+    seq = F.coalesce("_next", F.lit(0)) + F.row_number().over(W.partitionBy("covenant_id").orderBy("ord")) - 1
+    return events.join(last, "covenant_id", "left").withColumn("seq", seq.cast("long")).select(*before.columns)
 
 
 def apply(ledger: Ledger, events: DataFrame, created: DataFrame, spent: DataFrame) -> Ledger:
