@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from ..session import shared_dir
+from ..session import landed
 from ..sources import snapshots
 from . import feeds as D, lineage as L
 from .lineage import Ledger
@@ -52,7 +52,7 @@ def re_anchor(ledger: Ledger, cursor: str, chain: DataFrame) -> Anchor:
 def rescued(events: DataFrame, txs: DataFrame, ledger: Ledger, identity: L.Identity) -> DataFrame:
     """Events of a gap, with a genesis restored where the ledger's later rows hid it: the id follows from the transaction, and neither the
     ledger nor the gap has an event of the covenant at or before it."""
-    proven = L.genesis_proofs(txs, identity).withColumn("_proof", F.lit(True))
+    proven = L.genesis_proofs(txs, identity).withColumn("_proof", F.lit(True)).hint("merge")
     known = ledger.events.groupBy("covenant_id").agg(F.min("accepting_daa").alias("_known"))
     first = events.groupBy("covenant_id").agg(F.min("ord").alias("_first"))
     rows = events.join(proven, ["ord", "covenant_id"], "left").join(known, "covenant_id", "left").join(first, "covenant_id")
@@ -67,17 +67,13 @@ def recover_gap(ledger: Ledger, txs: DataFrame, lo: int, hi: int, stop: int, ide
     that the ledger's later rows hid is rescued; after ``hi``, up to ``stop``, only what the follower could not see is added: spends of cells
     that the gap made, which it took for nothing. Merging the same rows again changes nothing.
     """
-    shared_dir(txs.sparkSession)
-    inside = txs.where(F.col("accepting_daa").between(lo, hi)).checkpoint()
+    inside = txs.where(F.col("accepting_daa").between(lo, hi))
     after = txs.where((F.col("accepting_daa") > hi) & (F.col("accepting_daa") <= stop))
-    events, created, spent = L.classify(inside, ledger, identity)
-    events = rescued(events.checkpoint(), inside, ledger, identity).checkpoint()
-    created, spent = created.checkpoint(), spent.checkpoint()
-    merged = L.recover(ledger, events, created, spent)
-    merged = Ledger(*(x.checkpoint() for x in (merged.covenants, merged.events, merged.cells, merged.reorgs)))
+    events, created, spent = L.classify(inside, ledger, identity, landed)
+    merged = L.recover(ledger, rescued(landed(events), inside, ledger, identity), created, spent, landed)
     made = merged.cells.join(created.select("txid", "output_index").distinct(), ["txid", "output_index"], "left_semi")
-    late, spends = L.late_burns(after, made)
-    return L.recover(merged, late.checkpoint(), created.limit(0), spends.checkpoint())
+    late, spends = L.late_burns(after, made, landed)
+    return L.recover(merged, late, created.limit(0), spends, landed)
 
 
 def recover_once(spark: SparkSession, meta: str, ledger: Ledger, txs: DataFrame, lo: int, hi: int, stop: int, identity: L.Identity) -> tuple[Ledger, bool]:
@@ -111,19 +107,19 @@ def backward_chains(ledger: Ledger, txs: DataFrame) -> DataFrame:
     the one just before it.
 
     All covenants take a step back together: the first input of a transaction that spends a cell bound to the covenant names the one
-    before. Each step is checkpointed.
+    before. Each step is written.
     """
-    shared_dir(txs.sparkSession)
     first = ledger.events.groupBy("covenant_id").agg(F.min_by("txid", "seq").alias("txid"))
     open_ = ledger.covenants.where("not lineage_complete").select("covenant_id")
-    front = first.join(open_, "covenant_id", "left_semi").select("covenant_id", "txid").checkpoint()
+    front = first.join(open_, "covenant_id", "left_semi").select("covenant_id", "txid")
+    front = landed(front)
     ins = txs.select("txid", F.posexplode("inputs").alias("place", "i")).select("txid", "place", F.col("i.prev_txid").alias("before"), F.col("i.prev_index").alias("index"))
     outs = txs.select(F.col("txid").alias("before"), F.posexplode("outputs").alias("index", "o")).where("o.covenant is not null").select("before", "index", F.col("o.covenant.covenant_id").alias("covenant_id"))
     out, hop = None, 0
     while True:
         hop += 1
-        back = front.join(ins, "txid").join(outs, ["before", "index", "covenant_id"]).groupBy("covenant_id", "txid").agg(F.min_by("before", "place").alias("before"))
-        back = back.select("covenant_id", F.lit(hop).alias("hop"), F.col("before").alias("txid"), F.col("txid").alias("next_txid")).checkpoint()
+        back = front.join(ins.hint("merge"), "txid").join(outs.hint("merge"), ["before", "index", "covenant_id"]).groupBy("covenant_id", "txid").agg(F.min_by("before", "place").alias("before"))
+        back = landed(back.select("covenant_id", F.lit(hop).alias("hop"), F.col("before").alias("txid"), F.col("txid").alias("next_txid")))
         if back.isEmpty():
             break
         out = back if out is None else out.unionByName(back)
@@ -140,16 +136,18 @@ def with_beginnings(ledger: Ledger, txs: DataFrame, identity: L.Identity) -> Led
     """
     chain = backward_chains(ledger, txs)
     length = chain.groupBy("covenant_id").agg(F.max("hop").cast("long").alias("n"))
-    proven = L.genesis_proofs(txs, identity).join(txs.select("ord", "txid"), "ord").select("covenant_id", "txid")
-    root = chain.join(length, "covenant_id").where("hop = n").join(proven, ["covenant_id", "txid"], "left_semi").select("covenant_id", "n")
+    proven = L.genesis_proofs(txs, identity).hint("merge").join(txs.select("ord", "txid"), "ord").select("covenant_id", "txid")
+    root = chain.join(length, "covenant_id").where("hop = n").join(proven.hint("merge"), ["covenant_id", "txid"], "left_semi").select("covenant_id", "n")
     rows = chain.join(root, "covenant_id")
-    facts = txs.select("ord", "txid", "accepting_block", "accepting_daa", "accepting_time_ms", "tx_index")
-    made = L._created(txs).drop("accepting_block", "accepting_daa").join(rows, ["covenant_id", "txid"])
+    facts = txs.select("ord", "txid", "accepting_block", "accepting_daa", "accepting_time_ms", "tx_index").hint("merge")
+    made = L._created(txs).drop("accepting_block", "accepting_daa").hint("merge").join(rows, ["covenant_id", "txid"])
     spend = txs.select(F.col("txid").alias("next_txid"), F.col("accepting_block").alias("spent_block"), F.explode("inputs").alias("i"))
     spend = spend.select("next_txid", "spent_block", F.col("i.prev_txid").alias("txid"), F.col("i.prev_index").alias("output_index"), F.col("i.signature_script").alias("spent_sig"), F.col("i.compute_budget").alias("spent_budget"), F.lit(True).alias("_spent"))
-    made = made.join(spend, ["next_txid", "txid", "output_index"], "left").join(facts.drop("ord", "tx_index", "accepting_time_ms"), "txid")
+    made = made.join(spend.hint("merge"), ["next_txid", "txid", "output_index"], "left").join(facts.drop("ord", "tx_index", "accepting_time_ms"), "txid")
+    made = landed(made)
     unspent = made.where("_spent is null").select("covenant_id").distinct()
-    rows, made = (x.join(unspent, "covenant_id", "left_anti").checkpoint() for x in (rows, made))
+    rows, made = (x.join(unspent, "covenant_id", "left_anti") for x in (rows, made))
+    rows = landed(rows)
     ids = rows.select("covenant_id", "n").distinct()
     prefix = rows.join(facts, "txid").select("covenant_id", (F.col("n") - F.col("hop")).alias("seq"), F.when(F.col("hop") == F.col("n"), "genesis").otherwise("transition").alias("kind"), "txid", "accepting_block", "accepting_daa", "accepting_time_ms", "tx_index", F.lit(None).cast("binary").alias("payload"))
     moved = ledger.events.join(ids, "covenant_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Folders that queries leave in the shared folder, as their results are read from them.
-KEPT = ("signed-", "posteriors-", "shard-keys-", "warc-", "pipeline-", "stream-", "lexical-", "align-")
+KEPT = ("signed-", "posteriors-", "shard-keys-", "warc-", "pipeline-", "stream-", "lexical-", "align-", "landed-")
+
+
+def landed(rows: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder and read from it: compressed, and a later step reads only the columns that it needs."""
+    path = f"{shared_dir(rows.sparkSession)}/landed-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def sweep(spark: SparkSession, hours: float) -> list[str]:
