@@ -48,7 +48,7 @@ def _lockstep(rows: DataFrame, pins: DataFrame) -> DataFrame:
     """Rows (id, body) that are a pin's build, with the pin's columns, the values of their pushes and the raw pushes."""
     mine = rows.withColumn("l", S.laid_out("body"))
     pin = pins.withColumn("f", S.laid_out("program")).drop("program")
-    both = mine.join(pin, (F.col("l.n") == F.col("f.n")) & (F.col("l.gap_digest") == F.col("f.gap_digest")))
+    both = mine.join(F.broadcast(pin), (F.col("l.n") == F.col("f.n")) & (F.col("l.gap_digest") == F.col("f.gap_digest")))
     same = F.forall(F.sequence(F.lit(0), F.col("f.n") - 1), lambda i: F.array_contains("open", i) | (F.get(F.col("l.raws"), i) == F.get(F.col("f.raws"), i)))
     both = both.where((F.col("l.gaps") == F.col("f.gaps")) & ((F.col("f.n") == 0) | same))
     return both.select("*", F.col("l.values").alias("values"), F.col("l.raws").alias("raws")).drop("l", "f")
@@ -129,10 +129,10 @@ def verified(programs: DataFrame, found: list[DataFrame], exact: DataFrame, mode
     """
     rows = programs.select("id", digest(F.col("program")).alias("program_hash"))
     for k, df in enumerate(found):
-        rows = rows.join(df.select("id", F.col("skeleton").alias(f"_s{k}")), "id", "left")
+        rows = rows.join(df.select("id", F.col("skeleton").alias(f"_s{k}")).hint("merge"), "id", "left")
     rows = rows.join(exact.select("program_hash", F.col("skeleton").alias("_exact")), "program_hash", "left")
     name = F.coalesce(*[f"_s{k}" for k in range(len(found))], "_exact", F.lit(f"unmatched:{version}"))
-    return rows.select("id", name.alias("skeleton"), "program_hash").join(models, "skeleton", "left").select("id", "skeleton", F.coalesce("phase", F.lit("unknown")).alias("phase"), "bracket_fee", "growth_fee", "program_hash")
+    return rows.select("id", name.alias("skeleton"), "program_hash").join(F.broadcast(models), "skeleton", "left").select("id", "skeleton", F.coalesce("phase", F.lit("unknown")).alias("phase"), "bracket_fee", "growth_fee", "program_hash")
 
 
 def v_candidates(programs: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def v_candidates(programs: DataFrame) -> DataFrame:
     rows = rows.select("id", F.concat_ws(":", F.col("l.n").cast("string"), F.hex("l.gap_digest")).alias("family"), F.col("l.values").alias("values"))
     each = rows.select("id", "family", F.posexplode("values").alias("place", "value")).withColumn("v", E.little_endian(F.col("value")))
     good = each.groupBy("family", "place").agg((F.min("value") < F.max("value")).alias("differs"), F.bool_and(F.coalesce(F.col("v").between(1, LARGEST_V), F.lit(False))).alias("small")).where("differs and small")
-    some = each.join(good.select("family", "place"), ["family", "place"]).select(F.col("id").alias("market_covenant_id"), "family", F.col("place").cast("int").alias("place"), (F.col("v") * E.QUANTUM).alias("v"))
+    some = each.hint("merge").join(good.select("family", "place"), ["family", "place"]).select(F.col("id").alias("market_covenant_id"), "family", F.col("place").cast("int").alias("place"), (F.col("v") * E.QUANTUM).alias("v"))
     return some.unionByName(rows.select(F.col("id").alias("market_covenant_id"), "family", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("v")))
 
 
@@ -158,7 +158,9 @@ def trials(trades: DataFrame, candidates: DataFrame, fees: tuple = FEES) -> Data
     k0, k1, b0, b1 = (F.col(c) for c in ("kas_before_sompi", "kas_after_sompi", "base_before", "base_after"))
     quote, base, v = F.col("quote_sompi"), F.col("base_amount"), F.col("v")
     grid = F.array(*[F.struct(F.lit(i).alias("fee"), F.lit(b).alias("bracket"), F.lit(g).alias("growth")) for i, (b, g, _) in enumerate(fees)])
-    rows = trades.where("co_covenants = 0").join(candidates, "market_covenant_id").select("*", F.inline(grid))
+    judged = trades.where("co_covenants = 0")
+    candidates = candidates.hint("merge").join(judged.select("market_covenant_id").distinct(), "market_covenant_id")
+    rows = judged.join(candidates, "market_covenant_id").select("*", F.inline(grid))
     rows = rows.select("family", "place", "fee", E.bracket_holds(v, k0, k1, b0, b1, quote, base, F.col("side") == "buy", F.col("bracket")).alias("on"), E.invariant_holds(v, k0, k1, b0, b1, quote, F.col("growth")).alias("inv"))
     return rows.groupBy("family", "place", "fee").agg(F.count_if(F.col("on") & F.col("inv")).alias("clean"), F.count_if(~F.col("on")).alias("off"), F.count_if(F.col("on") & ~F.col("inv")).alias("bad"))
 
