@@ -55,7 +55,7 @@ def role_guesses(laid_out: DataFrame, open_places: DataFrame) -> DataFrame:
     ``key`` with 32 bytes throughout, ``number`` with numbers throughout. A single place is ``self_length`` if it states each
     member's own length. The two overlap where a length is repeated.
     """
-    each = laid_out.select("id", "family", "length", F.posexplode("values").alias("place", "value")).join(open_places, ["family", "place"])
+    each = laid_out.select("id", "family", "length", F.posexplode("values").alias("place", "value")).hint("merge").join(open_places, ["family", "place"])
     number = E.little_endian(F.when(F.length("value") > 0, F.col("value")))
     member = each.groupBy("family", "value_first", "id").agg(
         F.count(F.lit(1)).alias("n"), (F.min("value") == F.max("value")).alias("same"), (F.min(F.length("value")) == 32).alias("key"), F.bool_and(number.isNotNull()).alias("number")
