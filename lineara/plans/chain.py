@@ -1,7 +1,9 @@
 """The ledger's tables as views of the driver's tables, in Spark and in DuckDB.
 
 covenants, events, cells, tokens, token events, trades and market programs follow the ledger's schema; ids are hex digests of the
-driver's keys. ``SQL`` states every view, so a query over the views and its SQL start from the same rows.
+driver's keys. ``SQL`` states every view, so a query over the views and its SQL start from the same rows. Places in a history are
+numbered on the driver's columns, before any id is made: digests don't compress, and those of a view would be most of what its shuffle
+sends. Where a view is asked for ``raw`` ids, they stay the driver's keys until ``digested`` names them after the query's own shuffles.
 """
 
 from __future__ import annotations
@@ -64,6 +66,16 @@ def _id(kind: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(kind), key.cast("string")), 256)
 
 
+def _ids(raw: tuple[str, ...], **ids: tuple[str, Column]) -> list[Column]:
+    """Id columns by name, as digests or, of those in ``raw``, as the driver's keys."""
+    return [(key.cast("long") if name in raw else _id(kind, key)).alias(name) for name, (kind, key) in ids.items()]
+
+
+def digested(rows: DataFrame, **kinds: str) -> DataFrame:
+    """Rows of raw ids with the ids of the ledger: the kind of each column's ids by its name."""
+    return rows.withColumns({name: _id(kind, _c(name)) for name, kind in kinds.items()})
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -72,7 +84,7 @@ def _text(*parts: Column | str) -> Column:
     return F.encode(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), "UTF-8")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     s, e = F.unix_seconds(F.col("ts").cast("timestamp")), _c("event_id")
     hour = F.call_function("div", s - BASE, F.lit(3600))
     lane = F.concat(F.unhex(F.concat(F.substring(F.sha2(_c("event_type"), 256), 1, 8), F.lit("00" * 16))), _text(_c("event_type")))
@@ -80,28 +92,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 17 == 0, _text("ab")).when(e % 6 == 0, _text('{"p":"abc-20","op":"', _c("event_type"), '","tick":"T', _c("user_id") % 5, '"}'))
         .when(e % 6 == 1, _text(F.lower(F.hex(F.encode("props", "UTF-8"))))).when(e % 6 == 2, lane).when(e % 6 == 3, _text(_c("props"))).when(e % 6 == 4, _text('{"t":"', _c("event_type"), '"}'))
     )
-    return table(spark, sf_dir, "events").select(
-        _id("c", _c("user_id")).alias("covenant_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("seq"),
+    rows = table(spark, sf_dir, "events").withColumn("seq", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long"))
+    return rows.select(
+        *_ids(raw, covenant_id=("c", _c("user_id")), txid=("t", F.call_function("div", e, F.lit(3)))), "seq",
         F.when(_c("event_type") == "signup", "genesis").when(_c("event_type") == "error", "burn").otherwise("transition").alias("kind"),
-        _id("t", F.call_function("div", e, F.lit(3))).alias("txid"), (hour * 36000).alias("accepting_daa"), _id("b", hour).alias("accepting_block"),
+        (hour * 36000).alias("accepting_daa"), _id("b", hour).alias("accepting_block"),
         F.when(e % 11 != 0, e % 7).alias("tx_index"), F.when(e % 13 != 0, s * 1000).alias("accepting_time_ms"), payload.alias("payload"), "event_id", "user_id",
     )
 
 
-def covenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def covenants(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     whole = F.col("user_id") % 10 != 3
-    out = events(spark, sf_dir).groupBy("covenant_id", "user_id").agg(F.min_by("txid", "seq").alias("t"), F.min_by("accepting_daa", "seq").alias("d"), F.count(F.lit(1)).alias("event_count"), F.max("accepting_daa").alias("last_activity_daa"))
-    return out.select("covenant_id", F.when(whole, F.col("t")).alias("genesis_txid"), F.when(whole, F.col("d")).alias("genesis_daa"), whole.alias("lineage_complete"), "event_count", "last_activity_daa")
+    out = events(spark, sf_dir, "txid").groupBy("user_id").agg(F.min_by(F.struct("txid", "accepting_daa"), "seq").alias("t"), F.count(F.lit(1)).alias("event_count"), F.max("accepting_daa").alias("last_activity_daa"))
+    return out.select(*_ids(raw, covenant_id=("c", F.col("user_id")), genesis_txid=("t", F.when(whole, F.col("t.txid")))), F.when(whole, F.col("t.accepting_daa")).alias("genesis_daa"), whole.alias("lineage_complete"), "event_count", "last_activity_daa")
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     part, order, at = _c("l_partkey"), _c("l_orderkey"), (_c("l_orderkey") * 7919 + _c("l_linenumber")) % 720
     spent = _c("l_linestatus") != "O"
     name = F.when(part % 6 == 1, "").when(part % 6 == 2, "p2pk").when(part % 6 == 3, "p2sh commitment").when(part % 6 == 4, "mecenas").when(part % 6 == 5, "escrow")
     key, hashed = _id("k", _c("l_suppkey") % 40), _id("h", part)
     script = F.when(part % 3 == 0, F.unhex(F.concat(F.lit("20"), key, F.lit("ac")))).when(part % 3 == 1, F.unhex(F.concat(F.lit("aa20"), hashed, F.lit("87")))).otherwise(_text("raw"))
     return table(spark, sf_dir, "lineitem").select(
-        _id("t", order).alias("txid"), _c("l_linenumber").alias("output_index"), _id("c", _c("l_suppkey")).alias("covenant_id"), F.round(_c("l_extendedprice") * 100).cast("long").alias("value"),
+        *_ids(raw, txid=("t", order), covenant_id=("c", _c("l_suppkey"))), _c("l_linenumber").alias("output_index"), F.round(_c("l_extendedprice") * 100).cast("long").alias("value"),
         (at * 36000).alias("created_daa"), _id("b", at).alias("created_block"), F.when(spent, _id("b", order % 720)).alias("spent_block"), F.when(spent, _id("t", order + 1)).alias("spent_txid"),
         name.alias("template"), F.when(part % 7 == 0, "token").when(part % 7 == 1, "p2x").when(part % 7 == 2, "").alias("revealed_template"), script.alias("spk_script"),
     )
@@ -123,11 +136,11 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     order, line = _c("l_orderkey"), _c("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
-        _id("n", _c("l_suppkey")).alias("token_id"), (F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")) - 1).cast("long").alias("seq"),
-        _id("t", order).alias("txid"), _id("m", _c("l_partkey") % 30).alias("market_covenant_id"), F.when(_c("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
+    place = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag"))
+    return table(spark, sf_dir, "lineitem").withColumn("seq", (place - 1).cast("long")).select(
+        *_ids(raw, token_id=("n", _c("l_suppkey")), txid=("t", order), market_covenant_id=("m", _c("l_partkey") % 30)), "seq", F.when(_c("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         (_c("l_quantity").cast("long") * 1000).alias("base_amount"), (F.round(_c("l_extendedprice") * 100).cast("long") * 10000).alias("quote_sompi"),
         F.call_function("div", line, F.lit(5)).cast("int").alias("co_covenants"), F.call_function("div", order, F.lit(16)).alias("accepting_daa"),
         F.when((_c("l_suppkey") % 5 != 0) | (order % 50 != 0), order * 60000).alias("accepting_time_ms"),
@@ -135,21 +148,23 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_events(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     flag = _c("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select(
-        _id("n", _c("l_suppkey")).alias("token_id"), _id("c", _c("l_suppkey")).alias("covenant_id"), (F.dense_rank().over(W.partitionBy("l_suppkey").orderBy("l_orderkey")) - 1).cast("long").alias("seq"),
-        (F.row_number().over(W.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")) - 1).cast("long").alias("delta_idx"), F.when(flag == "R", "burn").when(flag == "N", "mint").otherwise("transfer").alias("kind"),
+    history = W.partitionBy("l_suppkey").orderBy("l_orderkey")
+    event = W.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").withColumn("seq", (F.dense_rank().over(history) - 1).cast("long")).withColumn("delta_idx", (F.row_number().over(event) - 1).cast("long"))
+    return rows.select(
+        *_ids(raw, token_id=("n", _c("l_suppkey")), covenant_id=("c", _c("l_suppkey"))), "seq", "delta_idx", F.when(flag == "R", "burn").when(flag == "N", "mint").otherwise("transfer").alias("kind"),
         F.when(_c("l_linenumber") != 6, _c("l_quantity").cast("long")).alias("amount"), F.concat(F.lit("00"), _id("o", _c("l_partkey") % 25)).alias("owner_from"),
         F.concat(F.lit("0"), (_c("l_partkey") % 4).cast("string"), _id("o", _c("l_orderkey") % 25)).alias("owner_to"),
     )
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def states(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     """Judged token states of transactions, spent (in) and created (out)."""
     part = _c("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
-        _id("n", _c("l_suppkey") % 40).alias("token_id"), _id("t", _c("l_orderkey")).alias("txid"), _c("l_orderkey").alias("seq"), F.when(_c("l_linenumber") % 2 == 1, "in").otherwise("out").alias("side"),
+        *_ids(raw, token_id=("n", _c("l_suppkey") % 40), txid=("t", _c("l_orderkey"))), _c("l_orderkey").alias("seq"), F.when(_c("l_linenumber") % 2 == 1, "in").otherwise("out").alias("side"),
         _c("l_linenumber").alias("idx"), F.concat(F.lit("0"), (part % 4).cast("string"), _id("o", part % 9)).alias("owner"), F.call_function("div", _c("l_quantity").cast("long"), F.lit(10)).alias("amount"),
         (_c("l_returnflag") == "N").alias("minter"), (part % 23 != 0).alias("proven"),
     )
