@@ -62,18 +62,18 @@ def sql(body: str, *views: str, **extra: str) -> str:
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
 
 
-def _id(kind: str, key: Column) -> Column:
+def ident(kind: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(kind), key.cast("string")), 256)
 
 
 def _ids(raw: tuple[str, ...], **ids: tuple[str, Column]) -> list[Column]:
     """Id columns by name, as digests or, of those in ``raw``, as the driver's keys."""
-    return [(key.cast("long") if name in raw else _id(kind, key)).alias(name) for name, (kind, key) in ids.items()]
+    return [(key.cast("long") if name in raw else ident(kind, key)).alias(name) for name, (kind, key) in ids.items()]
 
 
 def digested(rows: DataFrame, **kinds: str) -> DataFrame:
     """Rows of raw ids with the ids of the ledger: the kind of each column's ids by its name."""
-    return rows.withColumns({name: _id(kind, _c(name)) for name, kind in kinds.items()})
+    return rows.withColumns({name: ident(kind, _c(name)) for name, kind in kinds.items()})
 
 
 def _c(name: str) -> Column:
@@ -96,7 +96,7 @@ def events(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     return rows.select(
         *_ids(raw, covenant_id=("c", _c("user_id")), txid=("t", F.call_function("div", e, F.lit(3)))), "seq",
         F.when(_c("event_type") == "signup", "genesis").when(_c("event_type") == "error", "burn").otherwise("transition").alias("kind"),
-        (hour * 36000).alias("accepting_daa"), _id("b", hour).alias("accepting_block"),
+        (hour * 36000).alias("accepting_daa"), ident("b", hour).alias("accepting_block"),
         F.when(e % 11 != 0, e % 7).alias("tx_index"), F.when(e % 13 != 0, s * 1000).alias("accepting_time_ms"), payload.alias("payload"), "event_id", "user_id",
     )
 
@@ -111,11 +111,11 @@ def cells(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     part, order, at = _c("l_partkey"), _c("l_orderkey"), (_c("l_orderkey") * 7919 + _c("l_linenumber")) % 720
     spent = _c("l_linestatus") != "O"
     name = F.when(part % 6 == 1, "").when(part % 6 == 2, "p2pk").when(part % 6 == 3, "p2sh commitment").when(part % 6 == 4, "mecenas").when(part % 6 == 5, "escrow")
-    key, hashed = _id("k", _c("l_suppkey") % 40), _id("h", part)
+    key, hashed = ident("k", _c("l_suppkey") % 40), ident("h", part)
     script = F.when(part % 3 == 0, F.unhex(F.concat(F.lit("20"), key, F.lit("ac")))).when(part % 3 == 1, F.unhex(F.concat(F.lit("aa20"), hashed, F.lit("87")))).otherwise(_text("raw"))
     return table(spark, sf_dir, "lineitem").select(
         *_ids(raw, txid=("t", order), covenant_id=("c", _c("l_suppkey"))), _c("l_linenumber").alias("output_index"), F.round(_c("l_extendedprice") * 100).cast("long").alias("value"),
-        (at * 36000).alias("created_daa"), _id("b", at).alias("created_block"), F.when(spent, _id("b", order % 720)).alias("spent_block"), F.when(spent, _id("t", order + 1)).alias("spent_txid"),
+        (at * 36000).alias("created_daa"), ident("b", at).alias("created_block"), F.when(spent, ident("b", order % 720)).alias("spent_block"), F.when(spent, ident("t", order + 1)).alias("spent_txid"),
         name.alias("template"), F.when(part % 7 == 0, "token").when(part % 7 == 1, "p2x").when(part % 7 == 2, "").alias("revealed_template"), script.alias("spk_script"),
     )
 
@@ -123,16 +123,16 @@ def cells(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _c("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        _id("n", k).alias("token_id"), F.when(_c("s_acctbal") > 0, "verified").when(k % 2 == 0, "invalid").otherwise("unvalidated").alias("status"),
-        F.when(k % 4 != 0, _id("m", k % 30)).alias("market_covenant_id"), _c("s_name").alias("name"),
+        ident("n", k).alias("token_id"), F.when(_c("s_acctbal") > 0, "verified").when(k % 2 == 0, "invalid").otherwise("unvalidated").alias("status"),
+        F.when(k % 4 != 0, ident("m", k % 30)).alias("market_covenant_id"), _c("s_name").alias("name"),
     )
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = _c("p_size"), _c("p_partkey")
     return table(spark, sf_dir, "part").where(key < 25).select(
-        _id("m", key).alias("covenant_id"), F.when(size % 4 == 0, "unmatched").otherwise(_c("p_brand")).alias("skeleton"), (size % 5 != 0).alias("invariant_ok"), (size % 9).alias("exercised_trades"),
-        F.when(size % 3 != 0, size % 7).alias("program_len"), F.when(size % 3 != 0, size % 2).alias("program_pushes"), _id("h", key % 11).alias("program_hash"),
+        ident("m", key).alias("covenant_id"), F.when(size % 4 == 0, "unmatched").otherwise(_c("p_brand")).alias("skeleton"), (size % 5 != 0).alias("invariant_ok"), (size % 9).alias("exercised_trades"),
+        F.when(size % 3 != 0, size % 7).alias("program_len"), F.when(size % 3 != 0, size % 2).alias("program_pushes"), ident("h", key % 11).alias("program_hash"),
     )
 
 
@@ -144,7 +144,7 @@ def trades(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
         (_c("l_quantity").cast("long") * 1000).alias("base_amount"), (F.round(_c("l_extendedprice") * 100).cast("long") * 10000).alias("quote_sompi"),
         F.call_function("div", line, F.lit(5)).cast("int").alias("co_covenants"), F.call_function("div", order, F.lit(16)).alias("accepting_daa"),
         F.when((_c("l_suppkey") % 5 != 0) | (order % 50 != 0), order * 60000).alias("accepting_time_ms"),
-        F.when(line % 4 != 0, F.concat(F.lit("0"), (_c("l_partkey") % 4).cast("string"), _id("o", order % 25))).alias("counterparty"),
+        F.when(line % 4 != 0, F.concat(F.lit("0"), (_c("l_partkey") % 4).cast("string"), ident("o", order % 25))).alias("counterparty"),
     )
 
 
@@ -155,8 +155,8 @@ def token_events(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("seq", (F.dense_rank().over(history) - 1).cast("long")).withColumn("delta_idx", (F.row_number().over(event) - 1).cast("long"))
     return rows.select(
         *_ids(raw, token_id=("n", _c("l_suppkey")), covenant_id=("c", _c("l_suppkey"))), "seq", "delta_idx", F.when(flag == "R", "burn").when(flag == "N", "mint").otherwise("transfer").alias("kind"),
-        F.when(_c("l_linenumber") != 6, _c("l_quantity").cast("long")).alias("amount"), F.concat(F.lit("00"), _id("o", _c("l_partkey") % 25)).alias("owner_from"),
-        F.concat(F.lit("0"), (_c("l_partkey") % 4).cast("string"), _id("o", _c("l_orderkey") % 25)).alias("owner_to"),
+        F.when(_c("l_linenumber") != 6, _c("l_quantity").cast("long")).alias("amount"), F.concat(F.lit("00"), ident("o", _c("l_partkey") % 25)).alias("owner_from"),
+        F.concat(F.lit("0"), (_c("l_partkey") % 4).cast("string"), ident("o", _c("l_orderkey") % 25)).alias("owner_to"),
     )
 
 
@@ -165,6 +165,6 @@ def states(spark: SparkSession, sf_dir: str, *raw: str) -> DataFrame:
     part = _c("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
         *_ids(raw, token_id=("n", _c("l_suppkey") % 40), txid=("t", _c("l_orderkey"))), _c("l_orderkey").alias("seq"), F.when(_c("l_linenumber") % 2 == 1, "in").otherwise("out").alias("side"),
-        _c("l_linenumber").alias("idx"), F.concat(F.lit("0"), (part % 4).cast("string"), _id("o", part % 9)).alias("owner"), F.call_function("div", _c("l_quantity").cast("long"), F.lit(10)).alias("amount"),
+        _c("l_linenumber").alias("idx"), F.concat(F.lit("0"), (part % 4).cast("string"), ident("o", part % 9)).alias("owner"), F.call_function("div", _c("l_quantity").cast("long"), F.lit(10)).alias("amount"),
         (_c("l_returnflag") == "N").alias("minter"), (part % 23 != 0).alias("proven"),
     )

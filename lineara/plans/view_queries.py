@@ -45,7 +45,7 @@ def index_oldest(spark, sf_dir):
 @query(V.sql("""SELECT covenant_id, d AS accepting_daa, CAST(coalesce((SELECT sum(value) FROM c u WHERE u.covenant_id = e.covenant_id AND created_daa <= d AND (live OR nxt IS NULL OR d < nxt)), 0) AS BIGINT) AS balance FROM e""", "events_", "cells",
     e="SELECT DISTINCT covenant_id, accepting_daa AS d FROM events_", c="SELECT covenant_id, created_daa, spent_block IS NULL AS live, sum(value) AS value, (SELECT min(d) FROM e WHERE e.covenant_id = cells.covenant_id AND d > created_daa) AS nxt FROM cells GROUP BY ALL"))
 def balances_at_events(spark, sf_dir):
-    return X.balances_at_events(V.events(spark, sf_dir), V.cells(spark, sf_dir))
+    return V.digested(X.balances_at_events(V.events(spark, sf_dir, "covenant_id"), V.cells(spark, sf_dir, "covenant_id")), covenant_id="c")
 
 
 _HELD = "SELECT token_id, owner, sum(amount) AS balance FROM states WHERE side = 'out' AND proven GROUP BY 1, 2 HAVING sum(amount) > 0"
@@ -59,10 +59,9 @@ def holder_ranks(spark, sf_dir):
 
 @query(V.sql("SELECT token_id, least(owner_from, owner_to) AS a, greatest(owner_from, owner_to) AS b, count(*) AS n, max(seq) AS newest FROM token_events WHERE owner_from <> owner_to AND (token_id, owner_from) IN (SELECT * FROM h) AND (token_id, owner_to) IN (SELECT * FROM h) GROUP BY 1, 2, 3", "token_events", h="SELECT token_id, owner_to FROM token_events WHERE seq > 5 UNION SELECT token_id, owner_from FROM token_events WHERE seq > 5"))
 def holder_links(spark, sf_dir):
-    deltas = V.token_events(spark, sf_dir)
-    late = deltas.where("seq > 5")
-    holders = late.select("token_id", F.col("owner_to").alias("owner")).union(late.select("token_id", "owner_from"))
-    return X.holder_links(deltas, holders)
+    deltas = V.token_events(spark, sf_dir, "token_id")
+    holders = deltas.where("seq > 5").select("token_id", F.explode(F.array("owner_to", "owner_from")).alias("owner"))
+    return V.digested(X.holder_links(deltas, holders), token_id="n")
 
 
 @query(V.sql("SELECT covenant_id, tokens, coalesce(n, 0) AS live_states, CAST(coalesce(v, 0) AS BIGINT) AS live_value FROM (SELECT covenant_id, string_agg(DISTINCT token_id, ',' ORDER BY token_id) AS tokens FROM token_events WHERE kind = 'mint' AND seq < 4 GROUP BY 1) LEFT JOIN (SELECT covenant_id, count(*) FILTER (spent_block IS NULL) AS n, sum(value) FILTER (spent_block IS NULL) AS v FROM cells GROUP BY 1) USING (covenant_id)", "token_events", "cells"))
