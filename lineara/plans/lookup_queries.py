@@ -93,7 +93,8 @@ def vesting_page(spark, sf_dir):
 
 @query(V.sql("SELECT t.token_id, t.kind, t.amount, t.seq, t.delta_idx FROM events_ e JOIN token_events t ON t.covenant_id = e.covenant_id AND t.seq = e.seq WHERE e.txid = sha256('t5')", "events_", "token_events"))
 def token_actions_of_tx(spark, sf_dir):
-    return K.token_actions(V.events(spark, sf_dir), V.token_events(spark, sf_dir), _hash("t", 5))
+    deltas = V.token_events(spark, sf_dir, "token_id", "covenant_id")
+    return V.digested(K.token_actions(V.events(spark, sf_dir, "covenant_id"), deltas, _hash("t", 5)), token_id="n")
 
 
 @query("SELECT event_id * 10 AS daa, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS at_ms, event_id % 5 + 1 AS rolled_back FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 25")
