@@ -8,6 +8,8 @@ null. Every summary aggregates the cells once before its join; pages are a keyse
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import owners, payload as P
@@ -56,9 +58,10 @@ def born_values(covenants: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(born, ["covenant_id", "created_daa"]).groupBy("covenant_id").agg(F.sum("value").alias("born_value"))
 
 
-def digest(covenants: DataFrame, events: DataFrame, cells: DataFrame, window: int, tip: int | None = None) -> DataFrame:
+def digest(covenants: DataFrame, events: DataFrame, cells: DataFrame, window: int, tip: int | None = None, ident: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """One row: births, moves, burns and value born since ``window`` before the tip (that instant included), coins alive now, and
-    the busiest and biggest coin; ties go to the smaller id. The tip is the newest event's unless it is given."""
+    the busiest and biggest coin; ties go to the smaller id. The tip is the newest event's unless it is given. ``ident`` makes a coin's id of what the tables name it by; it is
+    asked once for each coin, after the tables are summed."""
     if tip is None:
         tip = events.agg(F.max("accepting_daa")).first()[0] or 0
     cutoff = max(0, tip - window)
@@ -66,8 +69,9 @@ def digest(covenants: DataFrame, events: DataFrame, cells: DataFrame, window: in
     counts = recent.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("genesis", "births"), ("transition", "moves"), ("burn", "burns"))])
     born = born_values(covenants.where(F.col("genesis_daa") >= cutoff), cells)
     rank = lambda n: F.min_by(F.struct("covenant_id", n), F.struct(-F.col(n), F.col("covenant_id")))
-    busy = recent.groupBy("covenant_id").agg(F.count(F.lit(1)).alias("n")).agg(rank("n").alias("b"))
-    rich = born.agg(rank("born_value").alias("r"), F.coalesce(F.sum("born_value"), F.lit(0)).alias("value_born"))
+    named = lambda rows: rows.withColumn("covenant_id", ident(F.col("covenant_id")))
+    busy = named(recent.groupBy("covenant_id").agg(F.count(F.lit(1)).alias("n"))).agg(rank("n").alias("b"))
+    rich = named(born).agg(rank("born_value").alias("r"), F.coalesce(F.sum("born_value"), F.lit(0)).alias("value_born"))
     now = live(cells).agg(F.countDistinct("covenant_id").alias("active_now"))
     one = F.lit(1).alias("_one")
     out = counts.select("*", one)

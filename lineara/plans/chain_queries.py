@@ -72,12 +72,13 @@ def ledger_stats(spark, sf_dir):
     cut="SELECT greatest(0, max(accepting_daa) - 20000000) AS c FROM events_", recent="SELECT * FROM events_ WHERE accepting_daa >= (SELECT c FROM cut)", busy="SELECT covenant_id, count(*) AS n FROM recent GROUP BY 1",
     born="SELECT c.covenant_id, CAST(sum(u.value) AS BIGINT) AS v FROM covenants c JOIN cells u ON u.covenant_id = c.covenant_id AND u.created_daa = c.genesis_daa WHERE c.genesis_daa >= (SELECT c FROM cut) GROUP BY 1"))
 def ledger_digest(spark, sf_dir):
-    return C.digest(V.covenants(spark, sf_dir), V.events(spark, sf_dir), V.cells(spark, sf_dir), 20_000_000)
+    covenants, events, cells = (view(spark, sf_dir, "covenant_id") for view in (V.covenants, V.events, V.cells))
+    return C.digest(covenants, events, cells, 20_000_000, ident=lambda key: V.ident("c", key))
 
 
 @query(V.sql("SELECT covenant_id, CAST(sum(value) AS BIGINT) AS born_value FROM cells JOIN covenants USING (covenant_id) WHERE created_daa = genesis_daa GROUP BY 1", "covenants", "cells"))
 def born_values(spark, sf_dir):
-    return C.born_values(V.covenants(spark, sf_dir), V.cells(spark, sf_dir))
+    return V.digested(C.born_values(V.covenants(spark, sf_dir, "covenant_id"), V.cells(spark, sf_dir, "covenant_id")), covenant_id="c")
 
 
 @query(V.sql("SELECT accepting_daa // 144000 * 144000 AS daa, count(*) FILTER (kind = 'genesis') AS births, count(*) FILTER (kind = 'transition') AS moves, count(*) FILTER (kind = 'burn') AS burns FROM events_ WHERE accepting_daa >= 3600000 GROUP BY 1", "events_"))
@@ -554,7 +555,7 @@ _WIDTH = "CASE WHEN span / 900000 <= 120 THEN 900000 WHEN span / 3600000 <= 120
     FROM (SELECT *, quote_sompi / base_amount AS price FROM ok JOIN w USING (token_id)) GROUP BY token_id, t0, width""", "trades", ok="SELECT * FROM trades WHERE co_covenants = 0 AND quote_sompi > 0 AND base_amount > 0",
     w=f"SELECT token_id, CAST({_WIDTH} AS BIGINT) AS width FROM (SELECT token_id, count(*) AS n, count(accepting_time_ms) AS m, max(accepting_time_ms) - min(accepting_time_ms) AS span FROM ok GROUP BY 1) WHERE n >= 3 AND n = m"))
 def token_candles(spark, sf_dir):
-    return M.candles(V.trades(spark, sf_dir))
+    return V.digested(M.candles(V.trades(spark, sf_dir, "token_id", "txid")), token_id="n", last_txid="t")
 
 
 @query("""SELECT p_partkey, CAST(q * 25 // 10000 AS BIGINT) AS creator, CAST(q * 90 // 10000 AS BIGINT) AS platform, greatest(CAST(q * 10 // 10000 AS BIGINT), 20000000) AS dev,
