@@ -90,17 +90,18 @@ def recent_blocks(events: DataFrame, limit: int) -> DataFrame:
 
 
 def matching_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(event, subscription) pairs; a null covenant or kind of a subscription matches all. Four equi-joins, by which of the two
-    are null, instead of one condition with ``or``."""
+    """(event, subscription) pairs; a null covenant or kind of a subscription matches all.
+
+    Subscriptions to a covenant meet its events by the covenant, whatever their kind. Those to none are sent to every task: each
+    of them matches a share of all events, and a join by kind would make all events of one kind a single task's.
+    """
     e = events.select("covenant_id", "kind", "seq")
     s = subscriptions.select(F.col("id").alias("subscription_id"), F.col("covenant_id").alias("_c"), F.col("kind").alias("_k"))
-    both = e.join(s.where("_c is not null and _k is not null"), (F.col("covenant_id") == F.col("_c")) & (F.col("kind") == F.col("_k")))
-    coin = e.join(s.where("_c is not null and _k is null"), F.col("covenant_id") == F.col("_c"))
-    kind = e.join(s.where("_c is null and _k is not null"), F.col("kind") == F.col("_k"))
-    every = s.where("_c is null and _k is null").select("subscription_id")
-    all_ = e.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one")
+    fits = F.col("_k").isNull() | (F.col("kind") == F.col("_k"))
+    coin = e.join(s.where("_c is not null"), (F.col("covenant_id") == F.col("_c")) & fits)
+    wide = e.join(F.broadcast(s.where("_c is null")), fits)
     names = ["covenant_id", "kind", "seq", "subscription_id"]
-    return both.select(*names).unionByName(coin.select(*names)).unionByName(kind.select(*names)).unionByName(all_.select(*names))
+    return coin.select(*names).unionByName(wide.select(*names))
 
 
 def ranked_suggestions(rows: DataFrame, query: str, name: str, ident: str, recency: str, limit: int = 8) -> DataFrame:

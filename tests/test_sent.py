@@ -11,9 +11,11 @@ SENDS = re.compile(r"^[ :+-]*(Join|Aggregate|Window|RepartitionByExpression|Dist
 
 
 def digests_sent(df, kinds: str) -> list[str]:
-    """Steps at or below the first one that needs a shuffle which make ids of the given kinds."""
+    """Steps at or below the first one that needs a shuffle which make ids of the given kinds, but for what an aggregate that comes
+    last makes of its groups."""
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = next(i for i, x in enumerate(lines) if SENDS.match(x))
+    lines[first] = lines[first].split("], [")[0] if "Aggregate [" in lines[first] else lines[first]
     return [x[:200] for x in lines[first:] if re.search(rf"concat\(({kinds}), cast\(", x)]
 
 
@@ -22,7 +24,7 @@ def exchanges(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name,kinds", [("token_deltas", "n|t"), ("token_accounts", "n|t"), ("token_trades", "t"), ("token_classified", "n|t"), ("token_verdicts", "n|t")])
+@pytest.mark.parametrize("name,kinds", [("token_deltas", "n|t"), ("token_accounts", "n|t"), ("token_trades", "t"), ("token_classified", "n|t"), ("token_verdicts", "n|t"), ("holder_links", "n"), ("balances_at_events", "c"), ("born_values", "c|t"), ("token_candles", "n|t|m")])
 def test_digests_are_made_after_the_shuffles(spark, name, kinds):
     assert digests_sent(registry.queries()[name](spark, SF), kinds) == []
 
@@ -30,3 +32,26 @@ def test_digests_are_made_after_the_shuffles(spark, name, kinds):
 def test_deltas_send_states_once(spark):
     # states and geneses by transaction, rows by place
     assert exchanges(registry.queries()["token_deltas"](spark, SF)) <= 3
+
+
+def test_a_digest_of_the_ledger_names_coins_after_they_are_summed(spark):
+    plan = registry.queries()["ledger_digest"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"concat\(c, cast\((user_id|l_suppkey)", plan)
+
+
+def test_holders_are_read_once(spark):
+    plan = registry.queries()["holder_links"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "Union" not in plan
+
+
+def test_histories_of_other_covenants_stay_where_they_are(spark):
+    lines = registry.queries()["token_actions_of_tx"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [i for i, x in enumerate(lines) if "+- Window" in x or ":- Window" in x]
+    for i in windows:
+        below = " ".join(lines[i + 1 : i + 5])
+        assert re.search(r"Filter .*(user_id|l_suppkey)#\d+L (IN|INSET|=) ?", below) or "LocalRelation <empty>" in below
+
+
+def test_events_of_one_kind_are_no_single_task(spark):
+    plan = registry.queries()["subscriptions_match"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(kind#", plan) and plan.count("Window [") == 2 and "rightHint=(strategy=broadcast)" in plan
