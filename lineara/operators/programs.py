@@ -152,17 +152,19 @@ def v_candidates(programs: DataFrame) -> DataFrame:
 def trials(trades: DataFrame, candidates: DataFrame, fees: tuple = FEES) -> DataFrame:
     """(family, place, fee, clean, off, bad): how the trades of a family's markets fit each virtual reserve and fee model.
 
-    One pass: a trade meets its own market's candidates only, and the few fee models are a constant list. Counts are added up before
-    the shuffle. Trades that other covenants took part in aren't judged.
+    One pass: a trade meets its own market's candidates only, and the few fee models are a constant list. Trades of a market with the
+    same figures are counted first and judged once. Trades that other covenants took part in aren't judged.
     """
     k0, k1, b0, b1 = (F.col(c) for c in ("kas_before_sompi", "kas_after_sompi", "base_before", "base_after"))
     quote, base, v = F.col("quote_sompi"), F.col("base_amount"), F.col("v")
     grid = F.array(*[F.struct(F.lit(i).alias("fee"), F.lit(b).alias("bracket"), F.lit(g).alias("growth")) for i, (b, g, _) in enumerate(fees)])
-    judged = trades.where("co_covenants = 0")
-    candidates = candidates.hint("merge").join(judged.select("market_covenant_id").distinct(), "market_covenant_id")
+    figures = ["market_covenant_id", "side", "kas_before_sompi", "kas_after_sompi", "base_before", "base_after", "quote_sompi", "base_amount"]
+    judged = trades.where("co_covenants = 0").groupBy(*figures).agg(F.count(F.lit(1)).alias("n"))
+    candidates = candidates.hint("merge").join(trades.where("co_covenants = 0").select("market_covenant_id").distinct(), "market_covenant_id")
     rows = judged.join(candidates, "market_covenant_id").select("*", F.inline(grid))
-    rows = rows.select("family", "place", "fee", E.bracket_holds(v, k0, k1, b0, b1, quote, base, F.col("side") == "buy", F.col("bracket")).alias("on"), E.invariant_holds(v, k0, k1, b0, b1, quote, F.col("growth")).alias("inv"))
-    return rows.groupBy("family", "place", "fee").agg(F.count_if(F.col("on") & F.col("inv")).alias("clean"), F.count_if(~F.col("on")).alias("off"), F.count_if(F.col("on") & ~F.col("inv")).alias("bad"))
+    rows = rows.select("family", "place", "fee", "n", E.bracket_holds(v, k0, k1, b0, b1, quote, base, F.col("side") == "buy", F.col("bracket")).alias("on"), E.invariant_holds(v, k0, k1, b0, b1, quote, F.col("growth")).alias("inv"))
+    many = lambda ok: F.sum(F.when(ok, F.col("n")).otherwise(0))
+    return rows.groupBy("family", "place", "fee").agg(many(F.col("on") & F.col("inv")).alias("clean"), many(~F.col("on")).alias("off"), many(F.col("on") & ~F.col("inv")).alias("bad"))
 
 
 def best_trials(counts: DataFrame, fees: tuple = FEES) -> DataFrame:

@@ -55,3 +55,22 @@ def test_histories_of_other_covenants_stay_where_they_are(spark):
 def test_events_of_one_kind_are_no_single_task(spark):
     plan = registry.queries()["subscriptions_match"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join Inner, \(kind#", plan) and plan.count("Window [") == 2 and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_equal_trades_are_judged_once(spark):
+    lines = registry.queries()["constant_trials"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grid = max(i for i, x in enumerate(lines) if "Generate inline" in x and "bracket" in x)
+    assert any("Aggregate [market_covenant_id" in x and "kas_before_sompi" in x for x in lines[grid:])
+
+
+def test_claimed_facts_are_read_once_by_all_tasks(spark):
+    plan = registry.queries()["token_facts_claimed"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and sum("try_variant_get" in x for x in plan.splitlines()) == 1
+
+
+def test_pairs_are_counted_by_as_many_tasks_as_their_lines_ask_for(spark, monkeypatch):
+    from lineara.operators import holdings
+
+    monkeypatch.setattr(holdings, "LINES", 100, raising=False)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert holdings.co_moves(lines).rdd.getNumPartitions() >= lines.count() // 100
