@@ -31,20 +31,17 @@ def _trim(x: Column) -> Column:
 
 def clean_text(x: Column, most: int) -> Column:
     """A text without the white space around it; null if nothing is left, it is longer than ``most`` characters or has control characters."""
-    t = _trim(x)
-    return F.when((t != "") & (F.length(t) <= most) & ~t.rlike(r"[\x00-\x1F\x7F-\u009F]"), t)
+    return let(_trim(x), lambda t: F.when((t != "") & (F.length(t) <= most) & ~t.rlike(r"[\x00-\x1F\x7F-\u009F]"), t))
 
 
 def safe_link(x: Column, most: int = 256) -> Column:
     """A link to https or ipfs; any other scheme is null, so that none that could run something gets further."""
-    t = clean_text(x, most)
-    return F.when(F.lower(t).rlike("^(https|ipfs)://"), t)
+    return let(clean_text(x, most), lambda t: F.when(F.lower(t).rlike("^(https|ipfs)://"), t))
 
 
 def clean_id(x: Column) -> Column:
     """64 hexadecimal digits in lower case, or null."""
-    t = F.lower(_trim(x))
-    return F.when(t.rlike("^[0-9a-f]{64}$"), t)
+    return let(F.lower(_trim(x)), lambda t: F.when(t.rlike("^[0-9a-f]{64}$"), t))
 
 
 def _object(text: Column) -> Column:
@@ -92,17 +89,14 @@ def token_facts(payload: Column) -> Column:
     def facts(v: Column) -> Column:
         has = F.try_variant_get(v, "$.ticker", "variant").isNotNull()
         ticker = F.when(has, text(v, "ticker", 12)).otherwise(text(v, "symbol", 12))
-        name, digest = text(v, "name", 48), text(v, "image_hash", 64)
-        places = _trim(_get(v, "decimals"))
-        whole = F.when(places.rlike("^[+]?0*[0-9]{1,3}$") & (places.cast("int") <= 255), places.cast("int"))
-        out = F.struct(name.alias("name"), ticker.alias("ticker"), safe_link(text(v, "image", 256)).alias("image"), clean_id(digest).alias("image_hash"), whole.alias("decimals"))
-        return F.when(name.isNotNull() | ticker.isNotNull(), out)
+        whole = let(_trim(_get(v, "decimals")), lambda t: F.when(t.rlike("^[+]?0*[0-9]{1,3}$") & (t.cast("int") <= 255), t.cast("int")))
+        rest = [safe_link(text(v, "image", 256)).alias("image"), clean_id(text(v, "image_hash", 64)).alias("image_hash"), whole.alias("decimals")]
+        said = F.struct(text(v, "name", 48).alias("name"), ticker.alias("ticker"))
+        return let(said, lambda n: F.when(n["name"].isNotNull() | n["ticker"].isNotNull(), F.struct(n["name"].alias("name"), n["ticker"].alias("ticker"), *rest)))
 
     size = F.length(payload)
-    plain = F.try_validate_utf8(payload.cast("string"))
-    digits = _trim(plain)
-    hexed = F.when(digits.rlike("^([0-9a-fA-F]{2})+$"), F.try_validate_utf8(F.unhex(digits).cast("string")))
-    doc = F.coalesce(_object(plain), _object(hexed))
+    hexed = lambda plain: let(_trim(plain), lambda t: F.when(t.rlike("^([0-9a-fA-F]{2})+$"), F.try_validate_utf8(F.unhex(t).cast("string"))))
+    doc = let(F.try_validate_utf8(payload.cast("string")), lambda plain: F.coalesce(_object(plain), _object(hexed(plain))))
     return F.when((size > 0) & (size <= LARGEST_FACTS), let(doc, facts))
 
 

@@ -127,8 +127,9 @@ def token_facts_claimed(spark, sf_dir):
     padding = F.when(k % 11 == 8, F.lit(',"pad":"' + "x" * 4096 + '"')).otherwise(no)
     doc = F.concat(F.lit('{"v":1'), name, ticker, image, hashed, places, padding, F.lit("}"))
     payload = F.when((k % 13 == 5) & (k % 11 != 8), F.lower(F.hex(F.encode(doc, "UTF-8")))).otherwise(doc)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", D.token_facts(F.encode(payload, "UTF-8")).alias("f")).where("f is not null")
-    return rows.select("c_custkey", "f.*")
+    # The table is a small file or two, and the texts are made and read by all tasks; each text is read once, not again by a filter.
+    rows = table(spark, sf_dir, "customer").select("c_custkey").repartition("c_custkey")
+    return rows.select("c_custkey", F.inline(F.filter(F.array(D.token_facts(F.encode(payload, "UTF-8"))), lambda f: f.isNotNull())))
 
 
 @query(V.sql("""SELECT token_id, seq, CASE WHEN base_amount > 0 AND quote_sompi > 0 THEN regexp_replace(regexp_replace(CASE WHEN p >= 1 THEN printf('%.4f', p) WHEN p >= 0.0001 THEN printf('%.6f', p) ELSE printf('%.8f', p) END, '0+$', ''), '\\.$', '') ELSE '—' END AS price
