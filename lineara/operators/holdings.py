@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from .graph import components
 from .ledger import money, total
 
+#: Lines for each task that makes or counts pairs.
+LINES = 200_000
+
 
 def stats(orders: DataFrame) -> DataFrame:
     return orders.agg(
@@ -64,10 +67,14 @@ def multi_entity(lines: DataFrame, least: int) -> DataFrame:
 
 
 def co_moves(lines: DataFrame) -> DataFrame:
-    """How often two entities move in one transaction."""
-    sets = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("e"))
+    """How often two entities move in one transaction.
+
+    Rows are dealt over as many tasks as their number asks for, so that what a task holds doesn't grow with the table.
+    """
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+    sets = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("e"))
     pairs = F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
+    return sets.select(F.explode(pairs).alias("p")).select("p.a", "p.b").repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def families(edges: DataFrame) -> DataFrame:
