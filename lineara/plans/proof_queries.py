@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scripts as S, typed
 from ..operators import locks, programs as P, proofs
-from ..session import table
+from ..session import landed, table
 from . import chain as V, chain_queries as Q
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +38,16 @@ _MOVES = """SELECT o_orderkey AS o, o_orderkey // 5 AS run, o_orderkey % 5 AS j,
 _PROGRAM = "unhex('20' || owner || printf('010%d08%02x00000000000000010%d', kind, amount, minter) || tail)"
 
 
-def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _owner(o: Column) -> Column:
+    return F.sha2(F.concat(F.lit("k"), (o % 97).cast("string")), 256)
+
+
+def moves(orders: DataFrame) -> DataFrame:
     o = F.col("o_orderkey")
     run = F.call_function("div", o, F.lit(5))
-    rows = table(spark, sf_dir, "orders").select(
-        o.alias("o"), run.alias("run"), (o % 5).alias("j"), F.sha2(F.concat(F.lit("k"), (o % 97).cast("string")), 256).alias("owner"), (o % 4).alias("kind"), (o % 2).alias("minter"), (o % 200).alias("amount"),
+    rest = [c for c in orders.columns if c != "o_orderkey"]
+    rows = orders.select(
+        *rest, o.alias("o"), run.alias("run"), (o % 5).alias("j"), _owner(o).alias("owner"), (o % 4).alias("kind"), (o % 2).alias("minter"), (o % 200).alias("amount"),
         F.when(run % 3 == 0, "ac").otherwise("ad51").alias("tail"),
     )
     two = lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")
@@ -52,9 +57,13 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(cells, witnesses of other coins): the cell of order o is spent by order o + 1 of its chain."""
-    made = moves(spark, sf_dir)
-    after = made.select((F.col("o") - 1).alias("o"), F.col("owner").alias("next_owner"), F.col("amount").alias("next_amount"), F.col("j").alias("next_j")).where("next_j > 0")
-    rows = made.join(after, "o", "left")
+    # Orders meet by their keys; what is made of them is made after that.
+    key, after = F.col("o_orderkey"), F.col("o") + 1
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    spends = orders.where(key % 5 > 0).select((key - 1).alias("o_orderkey"), (key % 5).alias("next_j"))
+    rows = moves(orders.join(spends, "o_orderkey", "left"))
+    then = lambda c: F.when(F.col("next_j").isNotNull(), c)
+    rows = rows.withColumns({"next_owner": then(_owner(after)), "next_amount": then(after % 200)})
     push = lambda data: F.concat(F.unhex(F.lpad(F.hex(F.length(data).cast("long")), 2, "0")), data)
     owner, amount = push(F.unhex("next_owner")), F.when((F.col("run") % 13 != 5) | (F.col("j") != 2), push(F.unhex(F.lpad(F.hex("next_amount"), 2, "0")))).otherwise(F.lit(bytearray()))
     last = F.when(F.col("j") == 0, push(F.col("program"))).otherwise(F.lit(bytearray()))
@@ -80,6 +89,7 @@ _PROVEN = f"""SELECT o, run, j, tail FROM m WHERE j = 0 AND run % 11 <> 4
     ELSE 'spend of ' || sha256('t' || m.o) || ':0 does not reveal its committed program' END AS why FROM m LEFT JOIN (SELECT o FROM p) p ON p.o = m.o""")
 def token_state_proofs(spark, sf_dir):
     cells, foreign = token_cells(spark, sf_dir)
+    cells = landed(cells)  # every round and step of the proof reads them
     known = proofs.recovered(proofs.direct(cells, sha), proofs.witnesses(cells).unionByName(foreign), sha)
     return proofs.judged(known).select("token_id", "txid", "owner", "amount", "minter", "proven", "why")
 

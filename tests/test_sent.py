@@ -74,3 +74,12 @@ def test_pairs_are_counted_by_as_many_tasks_as_their_lines_ask_for(spark, monkey
     monkeypatch.setattr(holdings, "LINES", 100, raising=False)
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert holdings.co_moves(lines).rdd.getNumPartitions() >= lines.count() // 100
+
+
+def test_orders_meet_by_their_keys_before_cells_are_made(spark):
+    from lineara.plans import proof_queries
+
+    cells, _ = proof_queries.token_cells(spark, SF)
+    lines = cells._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
+    assert not any("sha2(" in x for x in lines[join:])
