@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import landed
 from .graph import components
 from .ledger import money, total
 
@@ -66,17 +67,28 @@ def multi_entity(lines: DataFrame, least: int) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n_entities"), F.count(F.lit(1)).alias("n_cells")).where(F.col("n_entities") >= least)
 
 
+def _tasks(lines: DataFrame) -> int:
+    return max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+
+
 def co_moves(lines: DataFrame) -> DataFrame:
     """How often two entities move in one transaction.
 
     Rows are dealt over as many tasks as their number asks for, so that what a task holds doesn't grow with the table.
     """
-    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+    tasks = _tasks(lines)
     sets = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("e"))
     pairs = F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).select("p.a", "p.b").repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def co_links(lines: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what ``co_moves`` connects: the smallest entity of a transaction with each of its others."""
+    sets = lines.select("l_orderkey", "l_suppkey").repartition(_tasks(lines), "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("e"))
+    least = F.array_min("e")
+    return sets.select(least.alias("a"), F.explode(F.array_remove("e", least)).alias("b"))
+
+
 def families(edges: DataFrame) -> DataFrame:
     """(id, family) of every id in the edges (a, b): the smallest id that can be reached, however long the way."""
-    return components(edges).select("id", F.col("component").alias("family"))
+    return components(landed(edges.select("a", "b"))).select("id", F.col("component").alias("family"))

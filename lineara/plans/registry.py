@@ -147,7 +147,7 @@ def co_move_edges(spark, sf_dir):
     SELECT id, min(r) AS family FROM reach GROUP BY 1""")
 def families_components(spark, sf_dir):
     shared_dir(spark)
-    return H.families(H.co_moves(table(spark, sf_dir, "lineitem")))
+    return H.families(H.co_links(table(spark, sf_dir, "lineitem")))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT {S} AS hi FROM events), g AS (SELECT lag(hi) OVER (ORDER BY hi) AS lo, hi FROM s)
