@@ -107,7 +107,7 @@ def backward_chains(ledger: Ledger, txs: DataFrame) -> DataFrame:
     the one just before it.
 
     All covenants take a step back together: the first input of a transaction that spends a cell bound to the covenant names the one
-    before. Each step is written.
+    before, which is looked up once for all steps. Each step is written.
     """
     first = ledger.events.groupBy("covenant_id").agg(F.min_by("txid", "seq").alias("txid"))
     open_ = ledger.covenants.where("not lineage_complete").select("covenant_id")
@@ -115,11 +115,12 @@ def backward_chains(ledger: Ledger, txs: DataFrame) -> DataFrame:
     front = landed(front)
     ins = txs.select("txid", F.posexplode("inputs").alias("place", "i")).select("txid", "place", F.col("i.prev_txid").alias("before"), F.col("i.prev_index").alias("index"))
     outs = txs.select(F.col("txid").alias("before"), F.posexplode("outputs").alias("index", "o")).where("o.covenant is not null").select("before", "index", F.col("o.covenant.covenant_id").alias("covenant_id"))
+    outs = outs.join(front.select("covenant_id"), "covenant_id", "left_semi")
+    steps = landed(ins.hint("merge").join(outs, ["before", "index"]).groupBy("covenant_id", "txid").agg(F.min_by("before", "place").alias("before")))
     out, hop = None, 0
     while True:
         hop += 1
-        back = front.join(ins.hint("merge"), "txid").join(outs.hint("merge"), ["before", "index", "covenant_id"]).groupBy("covenant_id", "txid").agg(F.min_by("before", "place").alias("before"))
-        back = landed(back.select("covenant_id", F.lit(hop).alias("hop"), F.col("before").alias("txid"), F.col("txid").alias("next_txid")))
+        back = landed(front.join(steps, ["covenant_id", "txid"]).select("covenant_id", F.lit(hop).alias("hop"), F.col("before").alias("txid"), F.col("txid").alias("next_txid")))
         if back.isEmpty():
             break
         out = back if out is None else out.unionByName(back)
@@ -136,7 +137,7 @@ def with_beginnings(ledger: Ledger, txs: DataFrame, identity: L.Identity) -> Led
     """
     chain = backward_chains(ledger, txs)
     length = chain.groupBy("covenant_id").agg(F.max("hop").cast("long").alias("n"))
-    proven = L.genesis_proofs(txs, identity).hint("merge").join(txs.select("ord", "txid"), "ord").select("covenant_id", "txid")
+    proven = L.genesis_proofs(txs, identity, "txid").select("covenant_id", "txid")
     root = chain.join(length, "covenant_id").where("hop = n").join(proven.hint("merge"), ["covenant_id", "txid"], "left_semi").select("covenant_id", "n")
     rows = chain.join(root, "covenant_id")
     facts = txs.select("ord", "txid", "accepting_block", "accepting_daa", "accepting_time_ms", "tx_index").hint("merge")
