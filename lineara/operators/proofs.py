@@ -18,8 +18,8 @@ from . import tokens as T
 KEY = ["token_id", "txid", "output_index"]
 #: Owner types and minter bytes that a state may have.
 KINDS, MINTERS = range(4), range(2)
-#: Values of one kind that a single witness is searched for (a fixed value: reaching it leaves a cell unproven).
-MOST = 64
+#: Pairs of an owner and an amount of one cell beyond which its owners are dealt over the tasks; all pairs are tried either way.
+PAIRS = 4096
 STATE_BYTES = 46
 Digest = Callable[[Column], Column]
 
@@ -58,7 +58,7 @@ def _bases(proven: DataFrame) -> DataFrame:
     return cut.select("token_id", F.explode("t").alias("txid"), "head", "tail").where("txid is not null").distinct()
 
 
-def _arguments(cells: DataFrame, spends: DataFrame, most: int) -> DataFrame:
+def _arguments(cells: DataFrame, spends: DataFrame) -> DataFrame:
     """For each unproven cell and each witness of its transaction: the owners and amounts that the witness may state for it.
 
     A witness gives the values of all n outputs in one push (n times 32 or 8 bytes), or a push for each value; short amounts are filled
@@ -72,7 +72,8 @@ def _arguments(cells: DataFrame, spends: DataFrame, most: int) -> DataFrame:
 
     def values(width: int, flat: Callable[[Column], Column], filled: Callable[[Column], Column]) -> Column:
         whole = F.transform(F.filter(v, lambda x: F.length(x) == n * width), lambda x: F.substring(x, k * width + 1, F.lit(width)))
-        return F.array_distinct(F.concat(whole, F.transform(F.slice(F.filter(v, flat), 1, most), filled)))
+        # By their digits, as bytes would be compared pair by pair.
+        return F.transform(F.array_distinct(F.transform(F.concat(whole, F.transform(F.filter(v, flat), filled)), F.hex)), F.unhex)
 
     rows = todo.join(said, "txid")
     zeros = F.lit(bytearray(8))
@@ -81,22 +82,24 @@ def _arguments(cells: DataFrame, spends: DataFrame, most: int) -> DataFrame:
     return rows.select(*KEY, "want", owners.alias("owners"), amounts.alias("amounts")).where((F.size("owners") > 0) & (F.size("amounts") > 0))
 
 
-def recovered(cells: DataFrame, spends: DataFrame, digest: Digest = S.h32, most: int = MOST) -> DataFrame:
+def recovered(cells: DataFrame, spends: DataFrame, digest: Digest = S.h32) -> DataFrame:
     """Cells with the programs that witnesses of their transactions prove, to a fixpoint.
 
     A candidate is a build known at the transaction (of a cell that it spends, or of another that it makes) with an owner, an amount, a
-    type and a minter byte. A round tries only bases that came up in the round before, and the loop ends when nothing new is proven;
+    type and a minter byte; all values that a witness states are tried. A round tries only bases that came up in the round before, and the loop ends when nothing new is proven;
     each round is checkpointed, as the next builds on it.
     """
     shared_dir(cells.sparkSession)
-    work = _arguments(cells, spends, most).checkpoint()
+    work = _arguments(cells, spends).checkpoint()
     rest = cells.select(*KEY, "spent_txid")
     frontier = _bases(cells.where("program is not null")).join(work.select("token_id", "txid").distinct(), ["token_id", "txid"], "left_semi").checkpoint()
     seen, got = frontier, None
     states = F.array(*[F.lit(bytearray([kind, minter])) for kind in KINDS for minter in MINTERS])
     byte = lambda b: F.lit(bytearray([b]))
     while not frontier.isEmpty():
-        tries = work.join(frontier, ["token_id", "txid"]).select(*KEY, "want", "head", "tail", "amounts", F.explode("owners").alias("owner"))
+        many = F.size("owners").cast("long") * F.size("amounts") > PAIRS
+        one = lambda rows: rows.join(frontier, ["token_id", "txid"]).select(*KEY, "want", "head", "tail", "amounts", F.explode("owners").alias("owner"))
+        tries = one(work.where(~many)).unionByName(one(work.where(many)).repartition(*KEY, "owner"))
         tries = tries.select(*KEY, "want", "head", "tail", "owner", F.explode("amounts").alias("amount")).withColumn("s", F.explode(states))
         state = F.concat(byte(0x20), F.col("owner"), byte(1), F.substring("s", 1, 1), byte(8), F.col("amount"), byte(1), F.substring("s", 2, 1))
         tries = tries.select(*KEY, "want", F.concat("head", state, "tail").alias("program"))

@@ -54,6 +54,17 @@ def test_states_recovered_one_from_the_other(spark):
     assert alone.where("txid = 't2' and program is not null").count() == 0  # without the foreign witness neither is proven
 
 
+def test_all_values_of_a_witness_are_tried(spark, monkeypatch):
+    p0, p1 = program(A, 0, 0, 1), program(C, 2, 500, 0)
+    owners = [bytes([i]) * 31 + b"\xee" for i in range(70)] + [C]
+    amounts = [bytes([1, i]) for i in range(70)] + [b"\xf4\x01"]
+    cells = frame(spark, [("K", "t0", 0, locked(p0), "t1", witness(*owners, *amounts, p0)), ("K", "t1", 0, locked(p1), None, None)])
+    for pairs in (proofs.PAIRS, 1 << 40):  # dealt over the tasks, and in one
+        monkeypatch.setattr(proofs, "PAIRS", pairs)
+        found = {r.txid: bytes(r.program) for r in proofs.recovered(proofs.direct(cells), proofs.witnesses(cells)).collect() if r.program is not None}
+        assert found == {"t0": p0, "t1": p1}
+
+
 def test_states_out_of_model(spark):
     bad = [program(A, 7, 1, 0), program(A, 0, -1, 0), program(A, 0, 1, 5)]
     cells = frame(spark, [("K", f"t{i}", 0, p, None, None) for i, p in enumerate(bad)])
