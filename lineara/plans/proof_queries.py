@@ -55,26 +55,45 @@ def moves(orders: DataFrame) -> DataFrame:
     return rows.withColumn("program", F.unhex(digits))
 
 
-def token_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, witnesses of other coins): the cell of order o is spent by order o + 1 of its chain."""
-    # Orders meet by their keys; what is made of them is made after that.
-    key, after = F.col("o_orderkey"), F.col("o") + 1
+def _spent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, next_j): orders with the place of the one that spends their cell. They meet by their keys; what is made of them is made
+    after that."""
+    key = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     spends = orders.where(key % 5 > 0).select((key - 1).alias("o_orderkey"), (key % 5).alias("next_j"))
-    rows = moves(orders.join(spends, "o_orderkey", "left"))
+    return orders.join(spends, "o_orderkey", "left")
+
+
+def _token(key: Column) -> Column:
+    return F.sha2(F.concat(F.lit("n"), key.cast("string")), 256)
+
+
+def _tx(key: Column) -> Column:
+    return F.sha2(F.concat(F.lit("t"), key.cast("string")), 256)
+
+
+def token_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, witnesses of other coins): the cell of order o is spent by order o + 1 of its chain."""
+    cells, foreign = _keyed_cells(_spent(spark, sf_dir))
+    named = {"token_id": _token(F.col("token_id")), "txid": _tx(F.col("txid")), "spent_txid": _tx(F.col("spent_txid"))}
+    return cells.withColumns(named), foreign.withColumn("txid", named["txid"])
+
+
+def _keyed_cells(spent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same with orders' keys for transactions and numbers for tokens."""
+    after, rows = F.col("o") + 1, moves(spent)
     then = lambda c: F.when(F.col("next_j").isNotNull(), c)
     rows = rows.withColumns({"next_owner": then(_owner(after)), "next_amount": then(after % 200)})
     push = lambda data: F.concat(F.unhex(F.lpad(F.hex(F.length(data).cast("long")), 2, "0")), data)
     owner, amount = push(F.unhex("next_owner")), F.when((F.col("run") % 13 != 5) | (F.col("j") != 2), push(F.unhex(F.lpad(F.hex("next_amount"), 2, "0")))).otherwise(F.lit(bytearray()))
     last = F.when(F.col("j") == 0, push(F.col("program"))).otherwise(F.lit(bytearray()))
     other = F.col("run") % 5 == 2
-    ident = lambda c: F.sha2(F.concat(F.lit("t"), c.cast("string")), 256)
     spent = F.col("next_j").isNotNull()
     cells = rows.select(
-        F.sha2(F.concat(F.lit("n"), (F.col("run") % 40).cast("string")), 256).alias("token_id"), ident(F.col("o")).alias("txid"), F.lit(0).alias("output_index"), F.concat(F.lit(bytearray(b"\xaa\x20")), sha(F.col("program")), F.lit(bytearray(b"\x87"))).alias("spk_script"),
-        F.when(spent, ident(F.col("o") + 1)).alias("spent_txid"), F.when(spent & ~((F.col("run") % 11 == 4) & (F.col("j") == 0)), F.when(other, last).otherwise(F.concat(owner, amount, last))).alias("spent_sig"),
+        (F.col("run") % 40).alias("token_id"), F.col("o").alias("txid"), F.lit(0).alias("output_index"), F.concat(F.lit(bytearray(b"\xaa\x20")), sha(F.col("program")), F.lit(bytearray(b"\x87"))).alias("spk_script"),
+        F.when(spent, after).alias("spent_txid"), F.when(spent & ~((F.col("run") % 11 == 4) & (F.col("j") == 0)), F.when(other, last).otherwise(F.concat(owner, amount, last))).alias("spent_sig"),
     )
-    foreign = rows.where(spent & other).select(ident(F.col("o") + 1).alias("txid"), F.concat(owner, amount).alias("sig"))
+    foreign = rows.where(spent & other).select(after.alias("txid"), F.concat(owner, amount).alias("sig"))
     return cells, foreign
 
 
@@ -88,10 +107,10 @@ _PROVEN = f"""SELECT o, run, j, tail FROM m WHERE j = 0 AND run % 11 <> 4
     CASE WHEN p.o IS NOT NULL THEN NULL WHEN m.j = 4 OR NOT EXISTS (SELECT 1 FROM m n WHERE n.o = m.o + 1 AND n.j > 0) THEN 'live state unproven for ' || sha256('t' || m.o) || ':0' WHEN m.run % 11 = 4 AND m.j = 0 THEN 'reveal missing for spent output ' || sha256('t' || m.o) || ':0'
     ELSE 'spend of ' || sha256('t' || m.o) || ':0 does not reveal its committed program' END AS why FROM m LEFT JOIN (SELECT o FROM p) p ON p.o = m.o""")
 def token_state_proofs(spark, sf_dir):
-    cells, foreign = token_cells(spark, sf_dir)
-    cells = landed(cells)  # every round and step of the proof reads them
+    # Every step of the proof makes cells of these again; that takes less than to write them.
+    cells, foreign = _keyed_cells(landed(_spent(spark, sf_dir)))
     known = proofs.recovered(proofs.direct(cells, sha), proofs.witnesses(cells).unionByName(foreign), sha)
-    return proofs.judged(known).select("token_id", "txid", "owner", "amount", "minter", "proven", "why")
+    return proofs.judged(known, _tx).select(_token(F.col("token_id")).alias("token_id"), _tx(F.col("txid")).alias("txid"), "owner", "amount", "minter", "proven", "why")
 
 
 # Programs of two builds over the parts, some with a byte, a repeated place, a length or a constant that is off.

@@ -83,3 +83,17 @@ def test_orders_meet_by_their_keys_before_cells_are_made(spark):
     lines = cells._jdf.queryExecution().optimizedPlan().toString().splitlines()
     join = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
     assert not any("sha2(" in x for x in lines[join:])
+
+
+def test_rounds_of_a_proof_write_keys(spark, monkeypatch):
+    from lineara.operators import proofs
+    from lineara.plans import proof_queries
+
+    written = []
+    plain = proof_queries.landed
+    for module in (proofs, proof_queries):
+        monkeypatch.setattr(module, "landed", lambda rows: written.append([f.name for f in rows.schema if f.dataType.simpleString() == "string"]) or plain(rows), raising=False)
+    kept = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda rows, *a: written.append(["checkpoint"]) or kept(rows, *a))
+    registry.queries()["token_state_proofs"](spark, SF)
+    assert len(written) > 5 and not any(written)
